@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, mixing
+from . import decontam, exact, mixing, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +21,19 @@ def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    digest = F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *kinds, digest, secrets.span_text(F.concat("base", "added")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op2_exact": op2_exact}
+    return {"op1_mix": op1_mix, "op2_exact": op2_exact, "op6_decontaminate": op6_decontaminate, "op8_secrets": op8_secrets}
 
 
 OP1_SQL = r"""
@@ -61,5 +73,23 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP6_SQL = r"""
+WITH m(k, offs, span) AS (VALUES (0, [0, 1, 3, 5, 6], 7), (1, [0, 1, 2, 5, 7], 8)),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS h FROM documents),
+b AS (SELECT min(item_id) AS item, h FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS h FROM benchmark) WHERE len(h) >= 8 GROUP BY h),
+bs AS (SELECT item, k, min(p) AS p, seed FROM (SELECT item, k, p, list_transform(offs, lambda o: h[p + o]) AS seed FROM (SELECT item, h, k, offs, unnest(range(1, len(h) - span + 2)) AS p FROM b, m)) GROUP BY item, k, seed),
+ds AS (SELECT doc_id, k, p, list_transform(offs, lambda o: h[p + o]) AS seed FROM (SELECT doc_id, h, k, offs, unnest(range(1, len(h) - span + 2)) AS p FROM d, m)),
+hits AS (SELECT DISTINCT doc_id, item, ds.p - bs.p AS sh FROM ds JOIN bs USING (k, seed)),
+al AS (SELECT doc_id, item, least(13, len(b.h)) AS width, greatest(sh, 0) AS lo, greatest(-sh, 0) AS skip, least(len(d.h) - greatest(sh, 0), len(b.h) - greatest(-sh, 0)) AS n, d.h AS dh, b.h AS bh
+       FROM hits JOIN d USING (doc_id) JOIN b USING (item)),
+win AS (SELECT doc_id, item, width, unnest(range(1, n - width + 2)) AS w, list_transform(range(1, n + 1), lambda i: CASE WHEN dh[lo + i] = bh[skip + i] THEN 1 ELSE 0 END) AS same FROM al WHERE n >= width),
+best AS (SELECT doc_id, item, CAST(max(list_sum(same[w:w + width - 1])) AS INT) AS matches, max(width) AS length FROM win GROUP BY doc_id, item),
+ok AS (SELECT * FROM best WHERE matches >= ceil(length * 0.75)),
+per AS (SELECT doc_id, count(*) AS n_items, first(item ORDER BY matches DESC, item) AS item_id, first(matches ORDER BY matches DESC, item) AS matches, first(length ORDER BY matches DESC, item) AS length FROM ok GROUP BY doc_id)
+SELECT documents.doc_id, per.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, per.item_id, per.matches, CAST(per.length AS INT) AS length
+FROM documents LEFT JOIN per ON documents.doc_id = per.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op2_exact": OP2_SQL}
+    return {"op1_mix": OP1_SQL, "op2_exact": OP2_SQL, "op6_decontaminate": OP6_SQL}
