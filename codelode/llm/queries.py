@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, mixing, secrets
+from . import decontam, exact, html, langid, mixing, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +21,18 @@ def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.train_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     kinds = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
@@ -32,8 +40,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, digest, secrets.span_text(F.concat("base", "added")).alias("spans"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op2_exact": op2_exact, "op6_decontaminate": op6_decontaminate, "op8_secrets": op8_secrets}
+    found = (op1_mix, op2_exact, op5_quality, op6_decontaminate, op7_language, op8_secrets, op9_main_text)
+    return {f.__name__: f for f in found}
 
 
 OP1_SQL = r"""
