@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, html, langid, mixing, quality, secrets
+from . import decontam, exact, html, langid, lm, mixing, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_exact, op5_quality, op6_decontaminate, op7_language, op8_secrets, op9_main_text)
+    found = (op1_mix, op2_exact, op5_quality, op6_decontaminate, op7_language, op8_secrets, op9_main_text, op10_lm_score)
     return {f.__name__: f for f in found}
 
 
