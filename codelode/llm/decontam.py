@@ -92,3 +92,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     side = F.broadcast(per) if small(per, BROADCAST_ROWS) else per
     rows = docs.select(F.col(id_col).alias("_id"), *_key(id_col, text_col)).join(side, ["_k1", "_k2"], "left")
     return rows.select(F.col("_id").alias(id_col), F.col("b").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("b.item").alias(item_col), F.col("b.matches").alias("matches"), F.col("b.length").alias("length"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **options) -> DataFrame:
+    """The input's rows, all columns, that hold no benchmark item (see ``decontaminate``)."""
+    gone = cut(leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, **options).select("_k1", "_k2").distinct())
+    side = F.broadcast(gone) if small(gone, BROADCAST_ROWS) else gone
+    k1, k2 = _key(id_col, text_col)
+    return docs.withColumn("_k1", k1).withColumn("_k2", k2).join(side, ["_k1", "_k2"], "left_anti").select(*docs.columns)

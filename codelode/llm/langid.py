@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,16 +144,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     One narrow pass; texts of any length are read whole; a model without languages says ``und``; repeated rows, null ids
     and an empty table pass through. The score is the family's and the closest pair's certainty multiplied.
     """
-    rows = docs.select(*{id_col: 0, **dict.fromkeys(keep)}, F.col(text_col).alias("_text"))
-    names = [c for c in rows.columns if c != "_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", lang_pred string, score double"
+    names = list(dict.fromkeys([id_col, *keep]))
+    rows = docs.select(*names, F.col(text_col).alias("_text"))
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names) + ", lang_pred string, score double"
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            said = [model.predict(t) for t in p["_text"]]
-            yield p[names].assign(lang_pred=[k for k, _ in said], score=[s for _, s in said])
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            said = [model.predict(t.as_py()) for t in rb.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array([k for k, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return rows.mapInPandas(predict, schema)
+    return rows.mapInArrow(predict, schema)
 
 
 def train_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

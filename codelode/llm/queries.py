@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, html, langid, lm, mixing, quality, secrets
+from . import dart, decontam, exact, html, langid, linetree, lm, mixing, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linetree.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_n").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +58,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_exact, op5_quality, op6_decontaminate, op7_language, op8_secrets, op9_main_text, op10_lm_score)
+    found = (op1_mix, op2_exact, op3_near, op4_lines, op5_quality, op6_decontaminate, op7_language, op8_secrets, op9_main_text, op10_lm_score)
     return {f.__name__: f for f in found}
 
 
