@@ -56,3 +56,10 @@ def let(value: Column, body) -> Column:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most so many rows; it reads no more than it needs to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep the batches that Python workers get small, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, small
+from .common import bounded_batches, cut, let, small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,16 +35,17 @@ def parse(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> Data
     placed = lambda rows: F.transform(rows, lambda x, i: F.struct(x.alias("line"), beside(rows, i - 1, i > 0).alias("before"), beside(rows, i + 1, i < F.size(rows) - 1).alias("after")))
     d = docs.select(F.col(id_col).alias("doc"), *document_key(id_col, text_col), F.posexplode(let(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), placed)).alias("pos", "x"))
     d = d.select("doc", "_k1", "_k2", "pos", "x.line", "x.before", "x.after")
-    tokens = F.filter(F.split(masked(F.col("line")), _SPACE), lambda t: t != "")
+    tokens = F.split(F.btrim(masked(F.col("line")), F.lit(" \t\n\x0b\f\r")), _SPACE)
 
     def parsed(t):
         n = F.size(t)
         edge = lambda k: F.floor(n * k / FIELDS).cast("int")
         fields = F.array(*[F.xxhash64(F.slice(t, edge(k) + 1, F.greatest(edge(k + 1) - edge(k), F.lit(0)))) for k in range(FIELDS)])
-        return F.struct(n.alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2"), F.xxhash64(n, F.slice(t, 1, DEPTH)).alias("leaf"), F.when(n >= FIELDS, fields).alias("fields"))
+        return F.struct(F.when(F.get(t, F.lit(0)) == "", 0).otherwise(n).alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2"), F.xxhash64(n, F.slice(t, 1, DEPTH)).alias("leaf"), F.when(n >= FIELDS, fields).alias("fields"))
 
     lines = d.select("doc", "_k1", "_k2", "pos", "before", "after", let(tokens, parsed).alias("x")).select("doc", "_k1", "_k2", "pos", "before", "after", "x.*")
-    return cut(lines.filter(F.col("n") >= least_words))
+    # filtered after it is written: a filter below would parse every line a second time
+    return cut(lines).filter(F.col("n") >= least_words)
 
 
 def templates(lines: DataFrame) -> DataFrame:
@@ -113,6 +114,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text that loses all its lines is empty, and no row goes. Repeated rows are one document and lose the same lines. An empty
     table gives an empty result. A frequent line or leaf is summed map-side; the lines meet templates in joins that Spark can split.
     """
+    bounded_batches(docs.sparkSession)
     drop = recurring(docs, id_col, text_col, least_docs, least_words)
     names = list(dict.fromkeys([id_col, *keep, text_col]))
     rows = docs.select(*names, *document_key(id_col, text_col))
