@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import bounded_batches, cut, small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -179,6 +179,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     table gives an empty result. Votes are summed before they are shuffled, so a host with a third of all pages is a few rows;
     up to ``broadcast_hosts`` winners (counted) are broadcast, more are joined by a shuffle.
     """
+    bounded_batches(pages.sparkSession)
     paths = cut(winning_paths(pages, url_col, html_col))
     rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
     joined = rows.join(F.broadcast(paths) if small(paths, broadcast_hosts) else paths, "host", "left").select("i", "u", "html", "path")

@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import bounded_batches, crc_mod
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -144,6 +144,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     One narrow pass; texts of any length are read whole; a model without languages says ``und``; repeated rows, null ids
     and an empty table pass through. The score is the family's and the closest pair's certainty multiplied.
     """
+    bounded_batches(docs.sparkSession)
     names = list(dict.fromkeys([id_col, *keep]))
     rows = docs.select(*names, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names) + ", lang_pred string, score double"

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small
+from .common import bounded_batches, crc_mod, small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,7 +39,8 @@ def chunks(raw: bytes, most: int | None = None) -> np.ndarray:
 class Network:
     """Filters over bytes, the most of each over a chunk, a hidden layer; chunks' logits are averaged."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, seed: int = 5, tilt: float = 3.0):
+        self.tilt = tilt  # how much more a mistaken low-quality document costs; they are the few
         r = np.random.default_rng(seed)
         f = lambda *s, k: (r.standard_normal(s) * k).astype(np.float32)
         self.p = {"T": f(WIDTH, 256, FILTERS, k=0.3), "b": np.zeros(FILTERS, np.float32), "A": f(FILTERS, HIDDEN, k=0.25), "a": np.zeros(HIDDEN, np.float32), "v": f(HIDDEN, k=0.25), "c": np.zeros(1, np.float32)}
@@ -62,7 +63,7 @@ class Network:
         hr = np.maximum(h, 0)
         per = np.bincount(doc, minlength=n)
         logit = np.bincount(doc, hr @ p["v"] + p["c"], n) / per
-        d = ((1 / (1 + np.exp(-logit)) - y) / n).astype(np.float32)[doc] / per[doc].astype(np.float32)
+        d = ((1 / (1 + np.exp(-logit)) - y) * np.where(y > 0, 1.0, self.tilt) / n).astype(np.float32)[doc] / per[doc].astype(np.float32)
         dh = np.outer(d, p["v"]) * (h > 0)
         dz = (dh @ p["A"].T) * (z > 0)
         g = {"v": hr.T @ d, "c": np.array([d.sum()]), "A": zr.T @ dh, "a": dh.sum(0), "b": dz.sum(0), "T": np.zeros_like(p["T"])}
@@ -72,7 +73,8 @@ class Network:
         return g
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.004) -> Network:
-        """Adam over shuffled batches; the result depends on the documents and their order only."""
+        """Adam over shuffled batches, 900 of them at least; the result depends on the documents and their order only."""
+        epochs = max(epochs, -(-900 * batch // max(1, len(docs))))
         m, v, t, r = {k: 0 * a for k, a in self.p.items()}, {k: 0 * a for k, a in self.p.items()}, 0, np.random.default_rng(11)
         for e in range(epochs):
             order = r.permutation(len(docs))
@@ -141,6 +143,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     repeated rows pass through; an empty table gives an empty result; only the two columns named are read.
     """
 
+    bounded_batches(docs.sparkSession)
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = net.tables()
         for p in batches:
