@@ -149,7 +149,7 @@ def _imports(text: str, lang: str) -> list[tuple[int, str, list[str], bool]]:
                 out += [(first + k, x[1], [], False) for k, row in enumerate(m[1].split("\n")) if (x := re.search(r'"([^"]+)"', row))]
     else:
         rule = {
-            "java": r"^\s*import\s+(?:static\s+)?([\w.]+)(?:\.\*)?\s*;", "kt": r"^\s*import\s+([\w.]+)", "swift": r"^\s*import\s+(?:\w+\s+)?([\w.]+)", "cs": r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;",
+            "java": r"^\s*import\s+(?:static\s+)?([\w.]+)(?:\.\*)?\s*;", "kt": r"^\s*import\s+([\w.]+)", "swift": r"^\s*import[ \t]+(?:\w+[ \t]+)?([\w.]+)", "cs": r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;",
             "rs": r"^\s*(?:pub\s+)?use\s+([\w:]+)", "php": r"^\s*use\s+([\w\\]+)", "c": r'^\s*#\s*include\s+["<]([^">]+)[">]', "cpp": r'^\s*#\s*include\s+["<]([^">]+)[">]', "dart": r"""^\s*(?:import|export)\s+['"]([^'"]+)['"]""", "rb": r"""^\s*(?:require|require_relative|load)\s+['"]([^'"]+)['"]""",
         }.get(lang)
         for m in re.finditer(rule, text, re.M) if rule else ():
@@ -302,13 +302,16 @@ def _function_at(ts: list[Token], k: int, p: Profile, lang: str, in_class: bool)
         if j + 1 < len(ts) and ts[j + 1].text == "{":
             return name, opening, closing, j + 1, matching(ts, j + 1)
         end, depth = j + 1, 0
-        while end < len(ts) - 1 and not (depth <= 0 and (ts[end].text == ";" or lang == "kt" and ts[end + 1].line > ts[end].line)):
-            depth += ts[end].text in "([{" and ts[end].kind == "o"
-            depth -= ts[end].text in ")]}" and ts[end].kind == "o"
+        while end < len(ts):
+            if ts[end].kind == "o":
+                depth += (ts[end].text in "([{") - (ts[end].text in ")]}")
             if depth < 0:
                 return name, opening, closing, j + 1, end - 1
+            last = end + 1 >= len(ts)
+            if not depth and (last or ts[end].text == ";" or lang == "kt" and ts[end + 1].line > ts[end].line):
+                break
             end += 1
-        return name, opening, closing, j + 1, end
+        return name, opening, closing, j + 1, min(end, len(ts) - 1)
     return name, opening, closing, j, matching(ts, j)
 
 
