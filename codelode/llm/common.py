@@ -27,14 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, wide: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage ends here, and a lost executor costs nothing before it.
 
-    Uncompressed: the frames are digests, names and packed arrays, and native compressors' buffers stay outside the heap.
+    A frame of the input's own size is ``wide`` and written as it is dealt; others go to a sixteenth as many files as a
+    shuffle has partitions. Uncompressed: the frames are digests, names and packed arrays.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "none").parquet(path)
+    few = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    (df if wide else df.repartition(few)).write.option("compression", "none").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

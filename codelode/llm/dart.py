@@ -14,12 +14,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import bounded_batches, cut, small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words of a shingle, bands and rows of the signature: a pair of similarity 0.8 meets in a band but for 15 cases in a million.
 SHINGLE, BANDS, ROWS = 5, 28, 5
+#: Rounds in which a bucket's smaller classes meet members drawn from its largest, and members drawn each time.
+SAMPLES, DRAWN = 1, 3
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -122,6 +124,15 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parities(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, bits: int = 1024) -> np.ndarray:
+    """(sets, bits / 64) words: how many elements, by count, fall on each bit, modulo 2. One element more or less flips one bit."""
+    out = np.zeros((len(sets), bits), np.uint8)
+    for i, s in enumerate(sets):
+        at = (mix(s + np.uint64(11)) >> np.uint64(40)).astype(np.int64) % bits
+        out[i] = np.bincount(at, weights[i] if weights else None, bits).astype(np.int64) & 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def text_key(text: Column) -> Column:
     """A text's node: 128 bits of SHA-256 of its lower-cased form."""
     return F.unhex(F.substring(F.sha2(F.lower(F.coalesce(text, F.lit(""))), 256), 1, 32))
@@ -137,7 +148,7 @@ def _sign(counted: bool):
                 n = [int(g.sum()) for g in weights] if weights else [len(g) for g in sets]
                 keys = band_keys(signatures(sets, weights))
                 some = [list(map(int, row)) if m else [] for row, m in zip(keys, n, strict=True)]
-                yield pa.RecordBatch.from_pydict({"node": part.column(0), "n": pa.array(n, pa.int64()), "bands": pa.array(some, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"node": part.column(0), "n": pa.array(n, pa.int64()), "bands": pa.array(some, pa.list_(pa.int64())), "parity": pa.array(parities(sets, weights).tolist(), pa.list_(pa.int64()))})
 
     return run
 
@@ -169,12 +180,17 @@ def _verify(least: float, counted: bool):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, counted: bool) -> DataFrame:
-    """Those pairs (a, b) of nodes whose texts are at least so similar, each computed once from both whole texts."""
+def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, least: float, counted: bool) -> DataFrame:
+    """Those pairs (a, b) of nodes whose texts are at least so similar, each computed once from both whole texts.
+
+    Texts are fetched only for pairs that sizes and parity maps leave possible.
+    """
+    side = lambda c, n, p: signed.select(F.col("node").alias(c), F.col("n").alias(n), F.col("parity").alias(p))
+    pairs = cut(pairs.join(side("a", "na", "pa"), "a").join(side("b", "n", "parity"), "b").filter(_possible(least)).select("a", "b"))
     used = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     side = F.broadcast(used) if small(used, 300_000) else used
     t = texts.join(side, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
-    t = cut(t)
+    t = cut(t, wide=True)
     two = pairs.join(t.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
     two = two.join(t.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     return cut(two.select("a", "b", "ta", "tb").mapInPandas(_verify(least, counted), "a binary, b binary"))
@@ -183,20 +199,20 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, counted: bool) ->
 def components(links: DataFrame) -> DataFrame:
     """(node, label), the least node of each component with a link: large-star and small-star steps until nothing changes.
 
-    Every step is a grouped minimum, summed map-side, and a join that deals out a hub's neighbours; its edges are written
-    to the shared folder, and only their number and digest come to the driver.
+    Every step is a grouped minimum, summed map-side, and a join that deals out a hub's neighbours; each round's edges are
+    written to the shared folder, and only their number and digest come to the driver.
     """
 
     def large(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        return cut(both.filter("v > u").join(low, "u").filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        return both.filter("v > u").join(low, "u").filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
     def little(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = cut(down.groupBy("u").agg(F.min("v").alias("m")))
         moved = down.join(low, "u").filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return cut(moved.union(low.select(F.col("u"), F.col("m"))).distinct())
+        return moved.union(low.select(F.col("u"), F.col("m"))).distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
@@ -204,34 +220,83 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while (now := state(links)) != before:
         before = now
-        links = little(large(links))
+        links = cut(little(cut(large(links))))
     return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).union(links.select("b", "b").distinct())
 
 
+def _sized(least: float) -> Column:
+    """Sizes n and na are near enough for a similarity of ``least``."""
+    return F.least("na", "n") >= F.greatest("na", "n") * F.lit(least)
+
+
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two parity maps differ: at most the size of the sets' difference."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+
+
+def _possible(least: float) -> Column:
+    """Whether sets of sizes n and na may be ``least`` similar: then they differ in (1 - least) / (1 + least) of both at most."""
+    return _apart("pa", "parity") <= (F.col("n") + F.col("na")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-9)
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    """Each pair of a and node once, as a < b."""
+    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: the links join labels, and the labels' components rename them."""
+    if not links.limit(1).count():
+        return labels
+    alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = cut(labels.union(alone.select("node", F.col("node").alias("label"))))
+    of = lambda c: every.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    between = cut(links.join(of("a"), "a").join(of("b"), "b").filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    renamed = cut(components(between)).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return cut(every.join(renamed, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
 def labelled(docs: DataFrame, id_col: str, text_col: str, least: float, weighting: str) -> DataFrame:
     """(i, node, label) of every row: its id, its text's node and its class's least node."""
+    bounded_batches(docs.sparkSession)
     counted = weighting == "count"
     rows = docs.select(F.col(id_col).alias("i"), text_key(F.col(text_col)).alias("node"))
     texts = docs.select(text_key(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    signed = cut(texts.mapInArrow(_sign(counted), "node binary, n long, bands array<long>"))
-    signed = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = cut(signed.select("node", "n", F.explode("bands").alias("key")))
-    pivots = cut(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", F.col("p.node").alias("a"), F.col("p.n").alias("na")))
-    members = cut(members.join(pivots.select("key"), "key", "left_semi"))
-    fits = F.least("na", "n") >= F.greatest("na", "n") * F.lit(least)
-    pairs = cut(members.join(pivots, "key").filter("node != a").filter(fits).select("a", F.col("node").alias("b")).distinct())
-    links = verified(pairs, texts, least, counted)
+    signed = cut(texts.mapInArrow(_sign(counted), "node binary, n long, bands array<long>, parity array<long>"))
+    signed = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
+    signed = cut(signed, wide=True)
+    members = cut(signed.select("node", "n", F.explode("bands").alias("key")), wide=True)
+    ends = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).filter("lo != hi")
+    pivots = cut(ends.select("key", F.explode(F.array("lo", "hi")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("na")))
+    members = cut(members.join(pivots.select("key").distinct(), "key", "left_semi"))
+    pairs = cut(_ordered(members.join(pivots, "key").filter("node != a").filter(_sized(least))))
+    links = verified(pairs, signed, texts, least, counted)
     labels = cut(components(links))
 
-    named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    named = cut(named)
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    open_ = cut(named.join(cut(mixed), "key", "left_semi"))
-    major = cut(open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("m")).select("key", F.col("m.label").alias("major")))
-    minor = open_.join(major, "key").filter("label != major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    cross = minor.join(open_, "key").filter("label != la").filter(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    more = verified(cut(cross.join(pairs, ["a", "b"], "left_anti")), texts, least, counted)
-    labels = cut(components(cut(links.union(more))))
+    for seed in [*range(SAMPLES), None]:
+        named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+        named = cut(named, wide=True)
+        mixed = cut(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"))
+        open_ = cut(named.join(mixed, "key", "left_semi"))
+        major = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("m")).select("key", F.col("m.label").alias("major"))
+        open_ = cut(open_.join(cut(major), "key"))
+        minor = open_.filter("label != major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+        others = open_.select("key", "node", "n", "label")
+        if seed is not None:
+            drawn = [F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "key", F.lit(DRAWN * seed + k))) for k in range(DRAWN)]
+            others = open_.filter("label = major").groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("d")).select("key", F.explode("d").alias("d")).select("key", "d.*")
+            others = cut(others)
+        else:  # every pair that is left, but for those that parities rule out
+            maps = signed.select("node", "parity")
+            minor = cut(minor.join(maps.select(F.col("node").alias("a"), F.col("parity").alias("pa")), "a"))
+            others = cut(others.join(maps, "node"))
+        met = minor.join(others, "key").filter("label != la").filter(_sized(least))
+        if seed is None:
+            met = met.filter(_possible(least))
+        new = cut(_ordered(met).join(pairs, ["a", "b"], "left_anti"))
+        more = verified(new, signed, texts, least, counted)
+        pairs = pairs.union(new)
+        labels = _merged(labels, more)
 
     return cut(rows.join(labels, "node", "left").select("i", "node", F.coalesce("label", "node").alias("label")))
 
@@ -244,9 +309,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     "count" (as often as it occurs). A null text is empty; texts without words have no shingles and equal only each other.
     ``kept`` is true for the row of the least id (null ids rank last; of repeated rows of that id, all say so and share a class_key).
 
-    Copies are one node from the start. In each band's bucket all nodes are tested against the bucket's least node; after
-    that, only nodes whose classes still differ: those outside the bucket's largest class against the rest. So every pair that
-    shares a bucket ends in one class or has been tested, while a bucket of copies costs one test per member.
+    Copies are one node from the start. In each band's bucket all nodes are tested against the bucket's least and greatest.
+    After that only nodes whose classes still differ meet: those outside the bucket's largest class, first some rounds against
+    a few drawn from that class, so that what belongs to it joins it at a few tests a member, and then against all the rest.
+    So every pair that shares a bucket ends in one class or has been tested.
     """
     rows = labelled(docs, id_col, text_col, least, weighting)
     groups = cut(rows.groupBy("label").agg(F.min("i").alias("least"), F.count(F.lit(1)).alias("class_size")))

@@ -45,7 +45,7 @@ def parse(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> Data
 
     lines = d.select("doc", "_k1", "_k2", "pos", "before", "after", let(tokens, parsed).alias("x")).select("doc", "_k1", "_k2", "pos", "before", "after", "x.*")
     # filtered after it is written: a filter below would parse every line a second time
-    return cut(lines).filter(F.col("n") >= least_words)
+    return cut(lines, wide=True).filter(F.col("n") >= least_words)
 
 
 def templates(lines: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     fits = F.forall("fixed", lambda c: F.get(F.col("fields"), c["f"]) == c["v"])
     named = lines.join(leaf, "leaf", "left").withColumn("own", ~F.coalesce(F.col("fixed").isNotNull() & fits, F.lit(False)))
     named = named.select("doc", "_k1", "_k2", "pos", "before", "after", F.when(F.col("own"), F.col("h1")).otherwise(F.col("leaf")).alias("t1"), F.when(F.col("own"), F.col("h2")).otherwise(F.lit(0).cast("long")).alias("t2"))
-    named = cut(named)
+    named = cut(named, wide=True)
     place = F.struct(F.col("doc").isNull().alias("z"), "doc", "_k1", "_k2", "pos")
     per = named.groupBy("t1", "t2", "_k1", "_k2").agg(F.min(place).alias("first"))
     again = cut(per.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= least_docs).select("t1", "t2", "docs", F.col("first._k1").alias("f1"), F.col("first._k2").alias("f2"), F.col("first.pos").alias("fp")))

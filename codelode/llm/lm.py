@@ -25,14 +25,14 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut
+from .common import bounded_batches, crc_mod, cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The hash of the end of a text, which is also what the first word follows.
 END = 0x9E3779B97F4A7C15
-#: Words of a block; occurrences of a first word from which its pairs are spread; bits below a word's frequency class in its id.
-BLOCK_WORDS, SPREAD, CLASS_SHIFT = 2_000_000, 1 << 16, 44
+#: Words of a block at most, and bytes of text that make one; occurrences of a first word from which its pairs are spread; bits below a word's frequency class in its id.
+BLOCK_WORDS, BLOCK_BYTES, SPREAD, CLASS_SHIFT = 1_500_000, 8 << 20, 1 << 16, 44
 BUCKETS, CELLS2 = 24, 64
 
 
@@ -67,10 +67,22 @@ def bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c < 1, 0, np.minimum(BUCKETS - 1, 1 + np.floor(np.log2(np.maximum(c, 1)) + 1e-9))).astype(np.int64)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about a block's text."""
+    held: list[pa.RecordBatch] = []
+    for rb in batches:
+        held.append(rb)
+        if sum(x.nbytes for x in held) >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(len(x) for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents: (block, docs, codes, words, counts)."""
     part, seq = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
-    for rb in batches:
+    for rb in _gathered(batches):
         ids, held = rb.column(0), rb.column(1).to_numpy(zero_copy_only=False).astype(bool)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(rb.column(2), "")))
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -278,17 +290,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result; other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), (crc_mod(F.col(id_col), fold) == held).alias("h"), F.col(text_col).alias("t"))
-    blocks = cut(rows.mapInArrow(encode, "block long, docs binary, codes binary, words binary, counts binary"))
+    blocks = cut(rows.mapInArrow(encode, "block long, docs binary, codes binary, words binary, counts binary"), wide=True)
     part = lambda k, c: blocks.select("block", F.lit(k).alias("kind"), F.lit(0).alias("shard"), F.col(c).alias("data"))
     asked = blocks.select("block", "words", "counts").mapInPandas(ask_words(shards), "shard int, block long, data binary")
-    words = cut(asked.groupBy("shard").applyInPandas(count_words(shards), "block long, kind int, shard int, data binary, n long, v long"))
+    words = cut(asked.groupBy("shard").applyInPandas(count_words(shards), "block long, kind int, shard int, data binary, n long, v long"), wide=True)
     total = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
     known = part(0, "codes").unionByName(part(2, "docs")).unionByName(words.select("block", "kind", "shard", "data"))
     asked = known.groupBy("block").applyInPandas(ask_pairs(shards), "shard int, block long, data binary")
-    pairs = cut(asked.groupBy("shard").applyInPandas(count_pairs(n), "block long, kind int, shard int, data binary, cell long, weight long"))
+    pairs = cut(asked.groupBy("shard").applyInPandas(count_pairs(n), "block long, kind int, shard int, data binary, cell long, weight long"), wide=True)
     cells = pairs.filter("kind = 4").groupBy("cell").agg(F.sum("weight").alias("weight")).collect()
     weights = learn(sorted((r["cell"], r["weight"]) for r in cells), n, v)
     known = known.unionByName(pairs.filter("kind = 3").select("block", "kind", "shard", "data"))
