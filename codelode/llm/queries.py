@@ -22,7 +22,7 @@ def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dart.near_classes(table(spark, sf_dir, "documents"))
+    return dart.near_classes(table(spark, sf_dir, "documents")).drop("class_key")
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,37 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.t = y.t AND x.doc_id < y.doc_id),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS x FROM d UNION SELECT r.id, e2.b FROM r JOIN e2 ON r.x = e2.a),
+c AS (SELECT id, min(x) AS class_id FROM r GROUP BY id)
+SELECT id AS doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, id = class_id AS kept FROM c
+"""
+
+OP4_SQL = r"""
+WITH r AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l0 AS (SELECT doc_id, len(ls) AS k, unnest(range(1, len(ls) + 1)) AS pos, ls FROM r),
+l1 AS (SELECT doc_id, k, pos, ls[pos] AS line, CASE WHEN pos > 1 THEN ls[pos - 1] END AS prev, CASE WHEN pos < k THEN ls[pos + 1] END AS nxt FROM l0),
+l2 AS (SELECT *, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS t FROM l1),
+l AS (SELECT *, len(t) AS n, len(t) || ':' || array_to_string(t[1:3], ' ') AS leaf, CASE WHEN len(t) >= 8 THEN list_transform(range(0, 8), lambda f: array_to_string(t[(len(t) * f // 8) + 1:(len(t) * (f + 1) // 8)], ' ')) END AS fs FROM l2 WHERE len(t) >= 3),
+lv AS (SELECT leaf, count(*) AS total FROM l WHERE fs IS NOT NULL GROUP BY leaf HAVING count(DISTINCT t) > 1),
+v AS (SELECT leaf, f, fs[f] AS v FROM (SELECT leaf, fs, unnest(range(1, 9)) AS f FROM l SEMI JOIN lv USING (leaf) WHERE fs IS NOT NULL)),
+m AS (SELECT leaf, f, v, count(*) AS c FROM v GROUP BY ALL),
+fx AS (SELECT leaf, list({'f': f, 'v': v} ORDER BY f) AS fixed FROM m JOIN lv USING (leaf) WHERE c >= 2 AND 2 * c > total GROUP BY leaf HAVING count(*) >= 6),
+tp AS (SELECT l.doc_id, l.pos, l.prev, l.nxt, CASE WHEN fixed IS NOT NULL AND fs IS NOT NULL AND len(list_filter(fixed, lambda x: fs[x.f] <> x.v)) = 0 THEN 'leaf ' || l.leaf ELSE 'line ' || array_to_string(t, ' ') END AS t FROM l LEFT JOIN fx ON l.leaf = fx.leaf),
+df AS (SELECT t, count(DISTINCT doc_id) AS docs, min(doc_id) AS d1 FROM tp GROUP BY t HAVING count(DISTINCT doc_id) >= 2),
+ed AS (SELECT t, docs, CASE WHEN prev IS NULL AND nxt IS NULL THEN 'alone' WHEN prev IS NULL THEN 'doc ' || doc_id ELSE 'line ' || prev END AS b, CASE WHEN prev IS NULL AND nxt IS NULL THEN 'alone' WHEN nxt IS NULL THEN 'doc ' || doc_id ELSE 'line ' || nxt END AS a FROM tp JOIN df USING (t)),
+rec AS (SELECT t FROM ed GROUP BY t, docs HAVING least(count(DISTINCT a), count(DISTINCT b)) >= 2 AND 2 * least(count(DISTINCT a), count(DISTINCT b)) > docs),
+gone AS (SELECT doc_id, pos FROM (SELECT tp.doc_id, tp.pos, row_number() OVER (PARTITION BY t ORDER BY tp.doc_id, tp.pos) AS r FROM tp SEMI JOIN rec USING (t)) WHERE r > 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS k FROM l1 ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT r.doc_id, len(ls) AS n_lines, len(ls) - coalesce(kept.k, 0) AS n_dropped, coalesce(kept.text, '') AS text FROM r LEFT JOIN kept ON r.doc_id = kept.doc_id
+"""
+
 OP6_SQL = r"""
 WITH m(k, offs, span) AS (VALUES (0, [0, 1, 3, 5, 6], 7), (1, [0, 1, 2, 5, 7], 8)),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS h FROM documents),
@@ -118,4 +149,4 @@ FROM documents LEFT JOIN per ON documents.doc_id = per.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op2_exact": OP2_SQL, "op6_decontaminate": OP6_SQL}
+    return {"op1_mix": OP1_SQL, "op2_exact": OP2_SQL, "op3_near": OP3_SQL, "op4_lines": OP4_SQL, "op6_decontaminate": OP6_SQL}
