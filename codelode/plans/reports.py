@@ -13,7 +13,7 @@ from codelode.plans import tools
 
 def report(x: tools.Index) -> dict:
     """One scan's report, JSON-stable: health, modules, findings, pair keys, edges and opportunities. Frames here are per module."""
-    m = tools.module_metrics(x)
+    m = tools.module_metrics(x).filter("all_lines >= 10 or files > 1").persist()  # a small single file is no module of a report
     health = tools.architecture_health(x).first()
     f = tools.findings(x)
     top = graph.ranked(f, [F.desc("confidence"), F.col("a_id"), F.col("b_id")], 20).collect()

@@ -129,7 +129,7 @@ def find_references(x: Index, name: str, limit: int = 40) -> DataFrame:
 def _module_scores(x: Index) -> DataFrame:
     f = x.files
     src = f.filter("not is_test")
-    m = f.groupBy("module").agg(F.count_if(~F.col("is_test")).alias("source_files"), F.sum("code_lines").alias("all_lines"), F.max(F.col("is_index") & ~F.col("is_test")).alias("has_interface"), F.max(F.col("lang").isin("ts", "py", "vue")).alias("needs_interface"))
+    m = f.groupBy("module").agg(F.count_if(~F.col("is_test")).alias("source_files"), F.sum("code_lines").alias("all_lines"), F.count(F.lit(1)).alias("files"), F.max(F.col("is_index") & ~F.col("is_test")).alias("has_interface"), F.max(F.col("lang").isin("ts", "py", "vue")).alias("needs_interface"))
     loc = src.groupBy("module").agg(F.sum("code_lines").alias("loc"), F.sum("internal_functions").alias("private_functions"))
     e = x.tables["exports"].filter("not is_test").groupBy("module").agg(F.count_if(F.col("kind").isin("function", "class")).alias("functions"), F.count_if(F.col("kind") == "type").alias("types"), F.count_if(F.col("kind") == "const").alias("consts"), F.count_if(F.col("kind") == "reexport").alias("reexports"), F.coalesce(F.sum(F.when(F.col("kind") == "function", F.col("required_params"))), F.lit(0)).alias("required_params"), F.count_distinct("name").alias("exported"))
     m = m.join(loc, "module", "left").join(e, "module", "left").fillna(0)
@@ -143,7 +143,7 @@ def _module_scores(x: Index) -> DataFrame:
     used = graph.used_exports(i).select(F.col("dst").alias("module"), F.col("used_exports").alias("used"), F.col("imported_by").alias("callers"))
     m = m.join(deep, "module", "left").join(cyc, "module", "left").join(tested, "module", "left").join(used, "module", "left").fillna(0, ["deep", "used", "callers"]).fillna(False, ["in_cycle", "tested"])
     n = m.count()
-    out = metrics.depth(m).drop("label").join(metrics.seams(m).drop("label"), "module").join(metrics.leverage(m, F.lit(n)).drop("label"), "module").join(m.select("module", "exported", "source_files", "all_lines"), "module")
+    out = metrics.depth(m).drop("label").join(metrics.seams(m).drop("label"), "module").join(metrics.leverage(m, F.lit(n)).drop("label"), "module").join(m.select("module", "exported", "source_files", "all_lines", "files"), "module")
     if x.commits is None:
         return out.withColumn("locality", F.lit(None).cast("long")).withColumn("bus_factor", F.lit(None).cast("long")).withColumn("risk", F.lit(None).cast("long"))
     t = x.commits.select(F.col("commit_id").alias("commit"), "author", F.explode("files").alias("file")).join(f.select(F.col("path").alias("file"), "module"), "file").withColumn("dir", F.get(F.split("file", "/"), F.lit(0)))

@@ -209,3 +209,21 @@ def test_stream_receipts(spark, tmp_path):
 def test_lexer_survives(text):
     for lang in (*lexer.PROFILES, "vue", "rb"):
         assert isinstance(lexer.parse("x", text, lang), dict)
+
+
+def test_server(index):
+    import io
+
+    from codelode import server
+
+    ask = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "file_outline", "arguments": {"path": "py/base.py"}}}, {"id": 4, "method": "tools/call", "params": {"name": "nope"}}, {"id": 5, "method": "tools/call", "params": {"name": "diff_context"}}, {"id": 6, "method": "tools/call", "params": {"name": "file_outline", "arguments": {"wrong": 1}}}]
+    out = io.StringIO()
+    server.serve(index, io.StringIO("\n".join([*map(json.dumps, ask), "not json", "[]"])), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 5, 6, None, None]
+    assert len(got[1]["result"]["tools"]) == 23
+    assert json.loads(got[2]["result"]["content"][0]["text"])["name"] == "helper"
+    assert got[3]["error"]["code"] == -32602
+    assert got[4]["result"]["isError"]
+    assert got[5]["error"]["code"] == -32602
+    assert [r["error"]["code"] for r in got[6:]] == [-32700, -32600]
