@@ -14,7 +14,7 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sort the distinct keys and give each an integer name, its place in that order.
 
     Distinct keys are found with map-side partial aggregation, so a key that a third of the rows share is one row per
-    task. Names are unique by construction and the table is written before it is used, so no retry can rename.
+    task. Names are unique by construction, and the table is written before it is used, so no retry renames.
     """
     order = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys)
     return cut(order.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()))
@@ -71,6 +71,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = block_names(docs, id_col, text_col, block_chars, key_bits)
     named = cut(named.select("_rid", F.col("_id").alias(id_col), F.col("sha").alias("text_sha256"), "n_blocks", "name"))
-    group = named.groupBy("n_blocks", "name").agg(F.max(F.struct(id_col, "_rid")).alias("last"), F.count(F.lit(1)).alias("group_size"))
+    group = cut(named.groupBy("n_blocks", "name").agg(F.max(F.struct(id_col, "_rid")).alias("last"), F.count(F.lit(1)).alias("group_size")))
     out = named.join(group, ["n_blocks", "name"])
     return out.select(id_col, F.col(f"last.{id_col}").alias("keep_id"), "group_size", (F.col("_rid") == F.col("last._rid")).alias("kept"), "text_sha256")
