@@ -132,7 +132,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Base spans are the three patterns' matches that are long enough. A run of ``least`` and more key characters that overlaps
     none of them is added where a random string explains it better than an ordinary identifier does, by a log-likelihood
     ratio above ``threshold``. A null text is empty and has no spans; repeated rows give the same spans each; an empty table
-    gives an empty result; a null id is kept. The scan is one narrow stage: nothing is shuffled, whatever the skew.
+    gives an empty result; a null id is kept. The scan is one narrow stage, whatever the skew; only the spans found are dealt out.
     """
     table = F.from_json(F.lit(json.dumps(train(samples if samples is not None else default_samples(docs.sparkSession)))), "array<double>")
     d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
