@@ -104,12 +104,12 @@ def low_information(fns: DataFrame) -> DataFrame:
 
 def near_pairs(fns: DataFrame, least: float = NEAR_MIN) -> DataFrame:
     """Pairs that share three sketch values and more, values with over 24 owners left out as hubs; other bodies; Jaccard 0.72."""
-    f = low_information(fns).filter("not low_info")
+    f = settle(low_information(fns).filter("not low_info").select("id", "body_hash", "sketch"))  # sketches are computed once
     owned = f.select("id", F.explode("sketch").alias("v"))
     hubs = owned.groupBy("v").agg(F.count(F.lit(1)).alias("owners")).filter(f"owners between 2 and {HUB_OWNERS}").select("v")
     owned = owned.join(hubs, "v")
     p = owned.alias("a").join(owned.alias("b"), "v").filter("a.id < b.id").groupBy(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).agg(F.count(F.lit(1)).alias("shared")).filter(f"shared >= {SHARED_VALUES}")
-    one = f.select("id", "body_hash", "sketch")
+    one = f
     p = p.join(one.select(F.col("id").alias("a_id"), F.col("body_hash").alias("ha"), F.col("sketch").alias("sa")), "a_id").join(one.select(F.col("id").alias("b_id"), F.col("body_hash").alias("hb"), F.col("sketch").alias("sb")), "b_id")
     p = p.filter("ha != hb").withColumn("sim", F.least(F.lit(NEAR_CAP), jaccard(F.col("sa"), F.col("sb"))))
     return p.filter(F.col("sim") >= least).select("a_id", "b_id", pair_key(F.col("a_id"), F.col("b_id")).alias("pair_key"), "shared", round2(F.col("sim")).alias("similarity"))
