@@ -44,7 +44,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    kinds = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
+    kinds = [of(k) for k in range(3)]
     digest = F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256")
     return found.select("doc_id", *kinds, digest, secrets.span_text(F.concat("base", "added")).alias("spans"))
 

@@ -55,7 +55,8 @@ def test_secret_query(spark, tmp_path):
     for r in queries.op8_secrets(spark, str(tmp_path)).collect():
         base = brute(TEXTS[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert r.n_assign + r.n_access + r.n_hex == len(base.split(",")) * bool(base)
+        kinds = [x.split(":")[0] for x in base.split(",")]
+        assert [r.n_assign, r.n_access, r.n_hex] == [kinds.count(k) for k in KINDS[:3]]
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
