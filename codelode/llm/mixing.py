@@ -44,7 +44,8 @@ def schedule(quota: DataFrame, block_words: int, buckets: int = 4096) -> DataFra
     Slot k has the k-th van der Corput point; the source whose interval of the cumulative targets holds the point gets it.
     Intervals are cut along a fixed grid, so points meet them by an equi-join. Ranks within a source come from counts per
     run of slots plus places within the run: no source's slots meet in one task. Slots past a source's target stay unused;
-    a sixteenth more points than needed are dealt so that every source reaches it.
+    a sixteenth more points than needed are dealt. A source that still has fewer slots than its target needs, as small ones
+    among many have, gets the missing ones after the last point, in the sources' order: every source reaches its target.
     """
     spark = quota.sparkSession
     total = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -54,13 +55,13 @@ def schedule(quota: DataFrame, block_words: int, buckets: int = 4096) -> DataFra
     edge = F.lead("lo").over(Window.orderBy(F.col("source").isNull(), "source"))
     q = q.withColumn("hi", F.coalesce(edge, F.lit(1.0)))
     whole = float(1 << BITS)
-    q = q.withColumn("lo", F.floor(F.col("lo") * whole)).withColumn("hi", F.floor(F.col("hi") * whole)).filter("hi > lo")
+    q = q.withColumn("lo", F.floor(F.col("lo") * whole)).withColumn("hi", F.floor(F.col("hi") * whole))
     cell = (1 << BITS) // buckets
     q = cut(q.select("source", "source_size", "target", "lo", "hi", "all"))
     words = q.agg(F.max("all")).first()[0] or 0.0
     needed = int(words // block_words) + 1 if words else 0
     count = needed + needed // 16 + 64 if words else 0
-    grid = q.select("source", "target", "source_size", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
+    grid = q.filter("hi > lo").select("source", "target", "source_size", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
     slots = spark.range(count).select(F.col("id").alias("slot"), _point(F.col("id")).alias("at")).withColumn("cell", F.floor(F.col("at") / cell))
     dealt = slots.join(grid, "cell").filter("at >= lo and at < hi").withColumn("run", F.floor(F.col("slot") / 4096))
     dealt = cut(dealt.select("slot", "source", "target", "source_size", "run"))
@@ -69,7 +70,13 @@ def schedule(quota: DataFrame, block_words: int, buckets: int = 4096) -> DataFra
     place = F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")) - 1
     named = dealt.withColumn("place", place).alias("d").join(runs.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.run") == F.col("r.run")))
     rank = (F.col("r.base") + F.col("d.place")).cast("long")
-    return named.select("d.slot", "d.source", "d.target", "d.source_size", rank.alias("rank")).filter(F.col("rank") * F.lit(block_words) < F.col("target"))
+    used = named.select("d.slot", "d.source", "d.target", "d.source_size", rank.alias("rank")).filter(F.col("rank") * F.lit(block_words) < F.col("target"))
+    have = runs.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("have"))
+    short = q.join(have, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    short = short.withColumn("missing", F.ceil(F.col("target") / block_words) - F.col("have")).filter("missing > 0")
+    short = short.withColumn("slot", F.lit(count) + F.coalesce(F.sum("missing").over(upto), F.lit(0)))
+    short = short.select("slot", "source", "target", "source_size", "have", F.posexplode(F.sequence(F.col("have"), F.col("have") + F.col("missing") - 1)).alias("k", "rank"))
+    return used.unionByName(short.select((F.col("slot") + F.col("k")).alias("slot"), "source", "target", "source_size", "rank"))
 
 
 def shuffled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, size_bits: int = 9) -> tuple[DataFrame, DataFrame]:

@@ -68,3 +68,15 @@ def test_points_are_the_mirrored_bits(spark):
 
     got = [r[0] / 2**mixing.BITS for r in spark.range(5).select(mixing._point(F.col("id"))).collect()]
     assert got == [0, 0.5, 0.25, 0.75, 0.125]
+
+
+def test_schedule_gives_small_sources_their_slots(spark):
+    """One large source beside many small ones: each has the ranks 0, 1, ... that its target needs, and no slot is dealt twice."""
+    want = {"big": 200_000.0, None: 50.0} | {f"s{k:04}": (40.0, 60.0, 128.0, 200.0)[k % 4] for k in range(600)}
+    quota = spark.createDataFrame([(s, int(t), t) for s, t in want.items()], "source string, source_size long, target double")
+    rows = mixing.schedule(quota, 64).collect()
+    assert len({r.slot for r in rows}) == len(rows)
+    ranks = defaultdict(list)
+    for r in rows:
+        ranks[r.source].append(r["rank"])
+    assert {s: sorted(x) for s, x in ranks.items()} == {s: list(range(-int(-t // 64))) for s, t in want.items()}
