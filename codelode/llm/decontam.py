@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, let, small
 
-#: Fixed masks: the token places of a seed that count (1) and that may differ (0).
-MASKS = ("1101011", "11100101")
+#: Fixed masks: the token places of a seed that count (1) and that may differ (0). Whatever 10 of 13 places agree, one mask
+#: of the first fits into them; whatever 75 % of 8 to 12 places agree, one of the second.
+MASKS = ("1101011", "11100101", "110100011")
+SHORT_MASKS = ("1101011", "11100101", "10111", "11000011")
 #: A benchmark side of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -45,16 +47,24 @@ def _key(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(*both).alias("_k1"), F.xxhash64(F.lit("second"), *both[::-1]).alias("_k2")]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, agree: float = 0.75, shortest: int = 8, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, agree: float = 0.75, shortest: int = 8, masks: tuple[str, ...] = MASKS, short_masks: tuple[str, ...] = SHORT_MASKS) -> DataFrame:
     """Verified overlaps (_k1, _k2, item, matches, length): the best aligned window of a document with a benchmark item.
 
-    A seed hit fixes an alignment. Along it, of every ``window`` tokens (all of an item that is shorter, ``shortest`` at least)
-    the share ``agree`` must be the same words in the same places. An item's text that repeats counts once, as its lowest id.
+    A seed hit fixes an alignment. Along it, of every ``window`` tokens (all of an item that is shorter) the share ``agree``
+    must be the same words in the same places, and all of an item of fewer than ``shortest`` tokens, which is its own seed.
+    The masks are those that the benchmark's lengths need. An item's text that repeats counts once, as its lowest id.
     """
-    b = benchmark.select(F.col(item_col).alias("item"), token_hashes(F.col(item_text_col)).alias("bh")).filter(F.size("bh") >= shortest)
+    b = benchmark.select(F.col(item_col).alias("item"), token_hashes(F.col(item_text_col)).alias("bh")).filter(F.size("bh") > 0)
     b = cut(b.groupBy("bh").agg(F.min("item").alias("item")))
-    bs = b.select("item", F.size("bh").alias("n"), F.posexplode(seeds(F.col("bh"), masks)).alias("place", "seed"))
-    bs = cut(bs.select("item", "seed", _start(F.col("place"), F.col("n"), masks).alias("ipos")).groupBy("seed", "item").agg(F.min("ipos").alias("ipos")))
+    widths = [r[0] for r in b.select(F.least(F.size("bh"), F.lit(window)).alias("w")).distinct().collect()]
+    uses = {w: ("1" * w,) if w < shortest else masks if w == window else short_masks for w in widths}
+    masks = tuple(dict.fromkeys(m for w in sorted(uses) for m in uses[w])) or masks
+    bs = None
+    for k, m in enumerate(masks):
+        of = b.filter(F.least(F.size("bh"), F.lit(window)).isin([w for w in uses if m in uses[w]]))
+        of = of.select("item", F.posexplode(_seeds(F.col("bh"), m, k)).alias("ipos", "seed"))
+        bs = of if bs is None else bs.unionByName(of)
+    bs = cut(bs)
     near = lambda x: F.broadcast(x) if small(x, BROADCAST_ROWS) else x
 
     d = docs.select(*_key(id_col, text_col), token_hashes(F.col(text_col)).alias("h"))
@@ -75,7 +85,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     at = at.filter(n >= width).select("_k1", "_k2", "item", width.alias("length"), same.alias("same"))
     total = lambda f, k, w: F.aggregate(F.slice(f, k, w), F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("length") + 1), lambda k: total(F.col("same"), k, F.col("length"))))
-    at = at.select("_k1", "_k2", "item", "length", best.alias("matches")).filter(F.col("matches") >= F.ceil(F.col("length") * F.lit(agree)))
+    at = at.select("_k1", "_k2", "item", "length", best.alias("matches")).filter(F.col("matches") >= F.when(F.col("length") < shortest, F.col("length")).otherwise(F.ceil(F.col("length") * F.lit(agree))))
     return at.groupBy("_k1", "_k2", "item").agg(F.max(F.struct("matches", "length")).alias("m")).select("_k1", "_k2", "item", "m.matches", "m.length")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -82,6 +83,30 @@ def test_decontamination(spark, docs, no_docs):
     assert decontam.decontaminate(docs, b).count() == docs.count()
 
 
+def test_decontamination_meets_every_overlap(spark):
+    """Every pattern of substitutions that verification accepts is found, at every length of item; one more word is too many."""
+    items, d, want = [], [], {}
+    for n in (*range(1, 14), 20):
+        item = [f"item{n}word{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        width = min(n, 13)
+        may = 0 if n < 8 else width - -(-width * 3 // 4)
+        for out in [(0,), *itertools.combinations(range(width), may), *list(itertools.combinations(range(width), may + 1))[:: 40 if n > 8 else 1]]:
+            want[len(d)] = len(out) <= may
+            d.append((len(d), " ".join(["before", "it", *("zzz" if k in out else w for k, w in enumerate(item[:width])), "after", "it"])))
+    got = decontam.decontaminate(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.contaminated for r in got} == want
+
+
+def test_decontamination_keeps_places_of_a_repeated_seed(spark):
+    """A document that ends with an item's repeated words has a whole window only along the second occurrence."""
+    again = "one two three four five six seven eight nine ten".split()
+    item, text = [*again, "p", "q", "r", *again], ["x", "y", "z", *again]
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    [r] = decontam.decontaminate(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), b).collect()
+    assert (r.contaminated, r.matches, r.length) == (True, 10, 13)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header>Top</header><nav><ul><li><a href="/">Menu</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="content"><article class="post-12"><h1>A &amp; B</h1><p>One <b>bo</b>ld<br>line&nbsp;&#233;<p>Two <!-- no --> <script>var x = "</p>";</script>x<form>f</form>
 <div class="ad">Buy</div></article><div id="comments"><p>A reader says hi</p></div></div><aside>Side</aside><footer>&copy; F</footer>"""
