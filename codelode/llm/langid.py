@@ -28,6 +28,8 @@ FAMILIES = {
     "semitic": "ar he am mt".split(),
 }
 DIM_BITS = 13
+#: The share of a trigram that a language never had; its logarithm is the least familiarity.
+UNSEEN = 1e-6
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -81,6 +83,18 @@ class Model:
             columns.append(linear_svm(x[on], np.where(labels[on] == a, 1.0, -1.0)))
         self.weights = np.stack([w for w, _ in columns], 1) * np.float32(scale) if columns else np.zeros((1 << DIM_BITS, 0), np.float32)
         self.bias = np.array([b for _, b in columns])
+        share = lambda on: np.stack([x[on & (labels == k)].sum(0) / scale / max(1, (on & (labels == k)).sum()) for k in range(len(langs))], 1)
+        held = np.arange(len(x)) % 4 == 3
+        self.shares = np.log(share(np.ones(len(x), bool)) + UNSEEN).astype(np.float32) if langs else np.zeros((1 << DIM_BITS, 1), np.float32)
+        least = (x[held] / scale @ np.log(share(~held) + UNSEEN)).max(1).min() if held.any() else None
+        #: Halfway between the least familiarity of the held-out quarter and that of a text of unseen trigrams.
+        self.bound = -np.inf if least is None else float((least + np.log(UNSEEN)) / 2)
+
+    def familiar(self, text: str | None) -> float:
+        """Mean log share of the text's trigrams in the language where it is greatest: low where no language is known."""
+        g = grams(text or "")
+        total = sum((self.shares[g[i : i + 65536]].sum(0, dtype=np.float64) for i in range(0, len(g), 65536)), np.zeros(self.shares.shape[1]))
+        return float(total.max() / len(g)) if len(g) else float(np.log(UNSEEN))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not _LETTER.search(text):
@@ -138,21 +152,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, x, np.array([k for k, _ in kept]))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), known: bool = False) -> DataFrame:
     """The ``keep`` columns and id, lang_pred and score of every row; ``und`` with score 0 where the text is null or has no letter.
 
     One narrow pass; texts of any length are read whole; a model without languages says ``und``; repeated rows, null ids
-    and an empty table pass through. The score is the family's and the closest pair's certainty multiplied.
+    and an empty table pass through. The score is the family's and the closest pair's certainty multiplied; as it only weighs
+    the languages against each other, ``known`` adds whether the text is as familiar as the model's bound at least.
     """
     bounded_batches(docs.sparkSession)
     names = list(dict.fromkeys([id_col, *keep]))
     rows = docs.select(*names, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names) + ", lang_pred string, score double" + ", known boolean" * known
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             said = [model.predict(t.as_py()) for t in rb.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array([k for k, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], names=[*names, "lang_pred", "score"])
+            more = [pa.array([model.familiar(t.as_py()) >= model.bound for t in rb.column(len(names))], pa.bool_())] if known else []
+            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array([k for k, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64()), *more], names=[*names, "lang_pred", "score", *["known"][: len(more)]])
 
     return rows.mapInArrow(predict, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codelode.llm import dart, decontam, langid, linetree, mixing
 from codelode.llm.common import shared_dir, table
 
-#: A document goes if its text has no letter, or if the language model is surer than this that it can't tell.
+#: A document goes if its text has no letter or no known language's trigrams, or if the model's score is below this.
 LEAST_SURE = 0.1
 
 
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents without a recognisable language go."""
     model = langid.fit(docs)
     names = docs.columns
-    said = langid.identify(docs, model, keep=tuple(names))
-    return said.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select(*names)
+    said = langid.identify(docs, model, keep=tuple(names), known=True)
+    return said.filter((F.col("lang_pred") != "und") & F.col("known") & (F.col("score") >= LEAST_SURE)).select(*names)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,14 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_rejects_letters_of_no_known_language(spark):
+    """Texts with letters but of none of the learned languages go; those of a learned one stay."""
+    words = {"en": "the house and then with other there shing", "de": "der und die schlicht nicht einer gegen", "fr": "les des une avec pour dans était", "es": "los una para con pero ción donde"}
+    text = lambda k, lang: " ".join(random.Random(k).choices(words[lang].split(), k=30))
+    rows = [(k, text(k, lang), lang) for k, lang in enumerate(list(words) * 20)]
+    strange = ["xqzt wvkj qqxz zxcv bnmm qwrt pqzx wkjf", "Это русский текст о погоде и природе", "日本語のテキスト文章です"]
+    rows += [(1000 + k, t, None) for k, t in enumerate(strange)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == set(range(80))
