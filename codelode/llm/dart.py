@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, small
+from .common import Cuts, column, key_of, near, sliced, text_of, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -140,15 +140,13 @@ def text_key(text: Column) -> Column:
 
 def _sign(counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for s in range(0, len(rb), 512):
-                part = rb.slice(s, 512)
-                got = shingles(part.column(1), counted=counted)
-                sets, weights = ([g[0] for g in got], [g[1] for g in got]) if counted else (got, None)
-                n = [int(g.sum()) for g in weights] if weights else [len(g) for g in sets]
-                keys = band_keys(signatures(sets, weights))
-                some = [list(map(int, row)) if m else [] for row, m in zip(keys, n, strict=True)]
-                yield pa.RecordBatch.from_pydict({"node": part.column(0), "n": pa.array(n, pa.int64()), "bands": pa.array(some, pa.list_(pa.int64())), "parity": pa.array(parities(sets, weights).tolist(), pa.list_(pa.int64()))})
+        for part in sliced(batches, 2 << 20):
+            got = shingles(part.column(1), counted=counted)
+            sets, weights = ([g[0] for g in got], [g[1] for g in got]) if counted else (got, None)
+            n = [int(g.sum()) for g in weights] if weights else [len(g) for g in sets]
+            keys = band_keys(signatures(sets, weights))
+            some = [list(map(int, row)) if m else [] for row, m in zip(keys, n, strict=True)]
+            yield pa.RecordBatch.from_pydict({"node": part.column(0), "n": pa.array(n, pa.int64()), "bands": pa.array(some, pa.list_(pa.int64())), "parity": pa.array(parities(sets, weights).tolist(), pa.list_(pa.int64()))})
 
     return run
 
@@ -167,36 +165,43 @@ def weighted_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _verify(least: float, counted: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            keep = []
-            for s in range(0, len(p), 256):
-                q = p.iloc[s : s + 256]
-                x, y = shingles(q["ta"].tolist(), counted=counted), shingles(q["tb"].tolist(), counted=counted)
-                sim = weighted_similarity if counted else similarity
-                keep += [sim(a, b) >= least for a, b in zip(x, y, strict=True)]
-            yield p.loc[np.array(keep, bool), ["a", "b"]] if len(p) else p[["a", "b"]]
+    """Pairs (a, b) whose texts ta and tb are alike; a text that repeats in a batch is cut into shingles once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same = weighted_similarity if counted else similarity
+        for rb in sliced(batches):
+            sides = []
+            for k in (2, 3):
+                d = rb.column(k).dictionary_encode()
+                of = shingles(d.dictionary, counted=counted)
+                sides.append([of[i] for i in d.indices.to_pylist()])
+            yield rb.select([0, 1]).filter(pa.array([same(a, b) >= least for a, b in zip(*sides, strict=True)], pa.bool_()))
 
     return run
 
 
-def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, least: float, counted: bool) -> DataFrame:
+def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, least: float, counted: bool, cut: Cuts) -> DataFrame:
     """Those pairs (a, b) of nodes whose texts are at least so similar, each computed once from both whole texts.
 
-    Texts are fetched only for pairs that sizes and parity maps leave possible.
+    Texts are fetched only for pairs that sizes and parity maps leave possible. The text of the node with fewer pairs travels
+    with the pair and the other's meets it there, so a hub's text is not copied for each of its pairs.
     """
     side = lambda c, n, p: signed.select(F.col("node").alias(c), F.col("n").alias(n), F.col("parity").alias(p))
     pairs = cut(pairs.join(side("a", "na", "pa"), "a").join(side("b", "n", "parity"), "b").filter(_possible(least)).select("a", "b"))
-    used = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    side = F.broadcast(used) if small(used, 300_000) else used
-    t = texts.join(side, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
-    t = cut(t, wide=True)
-    two = pairs.join(t.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+    used = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k")))
+    few = near(used)
+    t = cut(texts.join(few.select("node"), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t")), "zstd")
+    of = lambda c: few.select(F.col("node").alias(c), F.col("k").alias(f"k{c}"))
+    two = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("turn", F.col("ka") > F.col("kb"))
+    two = two.select(F.when(F.col("turn"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("turn"), F.col("a")).otherwise(F.col("b")).alias("b"))
+    two = two.join(t.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
     two = two.join(t.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    return cut(two.select("a", "b", "ta", "tb").mapInPandas(_verify(least, counted), "a binary, b binary"))
+    out = cut(two.select("a", "b", "ta", "tb").mapInArrow(_verify(least, counted), "a binary, b binary"))
+    cut.drop(pairs, used, t)
+    return out
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, cut: Cuts) -> DataFrame:
     """(node, label), the least node of each component with a link: large-star and small-star steps until nothing changes.
 
     Every step is a grouped minimum, summed map-side, and a join that deals out a hub's neighbours; each round's edges are
@@ -217,10 +222,13 @@ def components(links: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
 
-    before = None
+    before, mine = None, False
     while (now := state(links)) != before:
-        before = now
-        links = cut(little(cut(large(links))))
+        before, last = now, links
+        wide = cut(large(links))
+        links = cut(little(wide))
+        cut.drop(wide, *[last] * mine)
+        mine = True
     return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).union(links.select("b", "b").distinct())
 
 
@@ -244,7 +252,7 @@ def _ordered(met: DataFrame) -> DataFrame:
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame, cut: Cuts) -> DataFrame:
     """Labels after more links: the links join labels, and the labels' components rename them."""
     if not links.limit(1).count():
         return labels
@@ -252,51 +260,57 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     every = cut(labels.union(alone.select("node", F.col("node").alias("label"))))
     of = lambda c: every.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     between = cut(links.join(of("a"), "a").join(of("b"), "b").filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    renamed = cut(components(between)).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    renamed = cut(components(between, cut)).select(F.col("node").alias("label"), F.col("label").alias("to"))
     return cut(every.join(renamed, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def labelled(docs: DataFrame, id_col: str, text_col: str, least: float, weighting: str) -> DataFrame:
+def _rung(n: str, least: float) -> Column:
+    """The rung of a size on a ladder of ratio ``least``: sizes that may belong together are on one rung or on neighbours."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(-math.log(least)) + F.lit(1e-9)).cast("int")
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, least: float, weighting: str, cut: Cuts) -> DataFrame:
     """(i, node, label) of every row: its id, its text's node and its class's least node."""
-    bounded_batches(docs.sparkSession)
     counted = weighting == "count"
-    rows = docs.select(F.col(id_col).alias("i"), text_key(F.col(text_col)).alias("node"))
-    texts = docs.select(text_key(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    signed = cut(texts.mapInArrow(_sign(counted), "node binary, n long, bands array<long>, parity array<long>"))
-    signed = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
-    signed = cut(signed, wide=True)
-    members = cut(signed.select("node", "n", F.explode("bands").alias("key")), wide=True)
-    ends = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).filter("lo != hi")
+    rows = docs.select(column(id_col).alias("i"), text_key(column(text_col)).alias("node"))
+    texts = docs.select(text_key(column(text_col)).alias("node"), text_of(text_col).alias("t"))
+    raw = cut(texts.mapInArrow(_sign(counted), "node binary, n long, bands array<long>, parity array<long>"))
+    signed = cut(raw.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity")))
+    cut.drop(raw)
+    all_members = cut(signed.select("node", "n", F.explode("bands").alias("key")))
+    ends = all_members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).filter("lo != hi")
     pivots = cut(ends.select("key", F.explode(F.array("lo", "hi")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("na")))
-    members = cut(members.join(pivots.select("key").distinct(), "key", "left_semi"))
+    members = cut(all_members.join(pivots.select("key").distinct(), "key", "left_semi"))
+    cut.drop(all_members)
     pairs = cut(_ordered(members.join(pivots, "key").filter("node != a").filter(_sized(least))))
-    links = verified(pairs, signed, texts, least, counted)
-    labels = cut(components(links))
+    links = verified(pairs, signed, texts, least, counted, cut)
+    labels = cut(components(links, cut))
+    cut.drop(pivots)
 
     for seed in [*range(SAMPLES), None]:
-        named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        named = cut(named, wide=True)
+        named = cut(members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
         mixed = cut(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"))
-        open_ = cut(named.join(mixed, "key", "left_semi"))
-        major = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("m")).select("key", F.col("m.label").alias("major"))
-        open_ = cut(open_.join(cut(major), "key"))
+        still = cut(named.join(mixed, "key", "left_semi"))
+        major = still.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("m")).select("key", F.col("m.label").alias("major"))
+        open_ = cut(still.join(cut(major), "key"))
+        cut.drop(named, mixed, still)
         minor = open_.filter("label != major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
         others = open_.select("key", "node", "n", "label")
         if seed is not None:
             drawn = [F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", "key", F.lit(DRAWN * seed + k))) for k in range(DRAWN)]
             others = open_.filter("label = major").groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("d")).select("key", F.explode("d").alias("d")).select("key", "d.*")
-            others = cut(others)
-        else:  # every pair that is left, but for those that parities rule out
+            met = minor.join(cut(others), "key").filter("label != la").filter(_sized(least))
+        else:  # every pair that is left, but for those that sizes, by their rungs in the join's key, and parities rule out
             maps = signed.select("node", "parity")
             minor = cut(minor.join(maps.select(F.col("node").alias("a"), F.col("parity").alias("pa")), "a"))
-            others = cut(others.join(maps, "node"))
-        met = minor.join(others, "key").filter("label != la").filter(_sized(least))
-        if seed is None:
-            met = met.filter(_possible(least))
+            others = cut(others.join(maps, "node").withColumn("rung", _rung("n", least)))
+            up = _rung("na", least)
+            minor = minor.withColumn("rung", F.explode(F.array(up - 1, up, up + 1)))
+            met = minor.join(others, ["key", "rung"]).filter("label != la").filter(_sized(least)).filter(_possible(least))
         new = cut(_ordered(met).join(pairs, ["a", "b"], "left_anti"))
-        more = verified(new, signed, texts, least, counted)
+        more = verified(new, signed, texts, least, counted, cut)
         pairs = pairs.union(new)
-        labels = _merged(labels, more)
+        labels = _merged(labels, more, cut)
 
     return cut(rows.join(labels, "node", "left").select("i", "node", F.coalesce("label", "node").alias("label")))
 
@@ -312,21 +326,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Copies are one node from the start. In each band's bucket all nodes are tested against the bucket's least and greatest.
     After that only nodes whose classes still differ meet: those outside the bucket's largest class, first some rounds against
     a few drawn from that class, so that what belongs to it joins it at a few tests a member, and then against all the rest.
-    So every pair that shares a bucket ends in one class or has been tested.
+    So every pair that shares a bucket ends in one class or has been tested. Only the two columns named are read.
     """
-    rows = labelled(docs, id_col, text_col, least, weighting)
+    cut = Cuts(docs.select(column(id_col), column(text_col)))
+    rows = labelled(docs, id_col, text_col, least, weighting, cut)
     groups = cut(rows.groupBy("label").agg(F.min("i").alias("least"), F.count(F.lit(1)).alias("class_size")))
     out = rows.join(groups, "label")
-    return out.select(F.col("i").alias(id_col), F.col("least").alias("class_id"), "class_size", F.col("i").eqNullSafe(F.col("least")).alias("kept"), F.lower(F.hex("label")).alias("class_key"))
+    return cut.done(out.select(F.col("i").alias(id_col), F.col("least").alias("class_id"), "class_size", F.col("i").eqNullSafe(F.col("least")).alias("kept"), F.lower(F.hex("label")).alias("class_key")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, weighting: str = "set") -> DataFrame:
     """The input's rows, all columns, one of each class of near_classes: that of the least id (nulls last); of repeated rows, one.
 
-    A keyed semi-join picks them, so only this join moves texts.
+    Columns of any name pass through. A null text is empty, and all empty texts are one class. Of rows that tie (one id, one
+    text) any one stays. An empty table gives an empty result. A keyed semi-join picks the rows, so only this join moves texts.
     """
-    rows = labelled(docs, id_col, text_col, least, weighting)
+    cut = Cuts(docs)
+    rows = labelled(docs, id_col, text_col, least, weighting, cut)
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("i").isNull().alias("z"), "i", "node")).alias("f"))
-    first = cut(first.select(F.xxhash64(F.coalesce(F.col("f.i").cast("string"), F.lit("\u0000"))).alias("_i"), F.col("f.node").alias("_node")))
-    keyed = docs.withColumn("_node", text_key(F.col(text_col))).withColumn("_i", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000"))))
-    return keyed.join(first, ["_i", "_node"], "left_semi").dropDuplicates(["_i", "_node"]).select(*docs.columns)
+    first = cut(first.select(*key_of(F.col("f.i")), F.col("f.node").alias("node")))
+    keyed = docs.select(whole(docs), *key_of(column(id_col)), text_key(column(text_col)).alias("node"))
+    out = keyed.join(near(first), ["k1", "k2", "node"], "left_semi").dropDuplicates(["k1", "k2", "node"])
+    return cut.done(out.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, crc_mod
+from .common import column, crc_mod, sliced, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -31,7 +30,6 @@ DIM_BITS = 13
 #: The share of a trigram that a language never had; its logarithm is the least familiarity.
 UNSEEN = 1e-6
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -97,7 +95,7 @@ class Model:
         return float(total.max() / len(g)) if len(g) else float(np.log(UNSEEN))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):  # Unicode's letters: no ², ½ or Ⅷ
             return "und", 0.0
         g = grams(text)
         # grams are summed in blocks, so that a very long text needs no more memory than a short one
@@ -112,7 +110,7 @@ class Model:
         least = dict.fromkeys(members, 1.0)
         for (a, b), d in zip(self.pairs, m[nf:], strict=True):
             if a in votes and b in votes:
-                win, p = (a if d > 0 else b), 1 / (1 + np.exp(-2.0 * d))
+                win, p = (a if d >= 0 else b), 1 / (1 + np.exp(-2.0 * d))
                 votes[win] += 1 + 1e-6 * abs(float(d))
                 least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
         best = max(members, key=lambda k: (votes[k], -k))
@@ -123,9 +121,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from labelled rows: about ``sample`` of them, equally many of each language, those of least id hash.
 
     The rows a language gives are found by counting it and then keeping a hash range; no task sorts a language. Each
-    sampled text is read whole and becomes one vector of 2**13 trigram shares on its executor.
+    sampled text is read whole and becomes one vector of 2**13 trigram shares on its executor. Rows without a text or a
+    language teach nothing; an empty table gives a model without languages. Rows that tie in their hash are taken in the order
+    of their vectors, so the model does not depend on the order of rows. Only the three columns named are read.
     """
-    d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("k")).filter("k is not null and t is not null")
+    d = docs.select(column(id_col).alias("i"), column(text_col).alias("t"), column(lang_col).alias("k")).filter("k is not null and t is not null")
     counts = {r["k"]: r["n"] for r in d.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
@@ -137,11 +137,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for k in langs:
         limit = F.when(F.col("k") == k, F.lit(min(top, int(top * 1.5 * each / counts[k]) + 1))).otherwise(limit)
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            yield pd.DataFrame({"k": p["k"], "h": p["h"], "v": [vector(t).astype(np.float16).tobytes() for t in p["t"]]})
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in sliced(batches):
+            v = pa.array([vector(t.as_py()).astype(np.float16).tobytes() for t in rb.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), v], names=["k", "h", "v"])
 
-    got = d.withColumn("h", h).filter(F.col("h") < limit).select("k", "h", "t").mapInPandas(vectors, "k string, h long, v binary").collect()
+    got = d.withColumn("h", h).filter(F.col("h") < limit).select("k", "h", "t").mapInArrow(vectors, "k string, h long, v binary").collect()
     got = sorted((langs.index(r["k"]), r["h"], bytes(r["v"])) for r in got)
     kept, seen = [], dict.fromkeys(range(len(langs)), 0)
     for k, _, v in got:
@@ -152,29 +153,44 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, x, np.array([k for k, _ in kept]))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), known: bool = False) -> DataFrame:
-    """The ``keep`` columns and id, lang_pred and score of every row; ``und`` with score 0 where the text is null or has no letter.
+def _said(docs: DataFrame, model: Model, carried, text_col: str, known: bool) -> DataFrame:
+    """(row, lang_pred, score, known) of every row: ``carried`` as row, and whether the text is familiar enough, if ``known`` asks."""
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in sliced(batches):
+            texts = [t.as_py() for t in rb.column(1)]
+            said = [model.predict(t) for t in texts]
+            fam = [model.familiar(t) >= model.bound if known else None for t in texts]
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([k for k, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64()), pa.array(fam, pa.bool_())], names=["row", "lang_pred", "score", "known"])
+
+    rows = docs.select(carried.alias("row"), column(text_col).alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType())])
+    return rows.mapInArrow(predict, schema)
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, lang_pred and score of every row; ``und`` with score 0 where the text is null or has no letter.
 
     One narrow pass; texts of any length are read whole; a model without languages says ``und``; repeated rows, null ids
-    and an empty table pass through. The score is the family's and the closest pair's certainty multiplied; as it only weighs
-    the languages against each other, ``known`` adds whether the text is as familiar as the model's bound at least.
+    and an empty table pass through; other columns are not read. The score is the family's and the closest pair's certainty
+    multiplied: it weighs the learned languages against each other. Languages that tie go to the first by code point.
     """
-    bounded_batches(docs.sparkSession)
-    names = list(dict.fromkeys([id_col, *keep]))
-    rows = docs.select(*names, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names) + ", lang_pred string, score double" + ", known boolean" * known
+    said = _said(docs, model, column(id_col), text_col, False)
+    return said.select(F.col("row").alias(id_col), "lang_pred", "score")
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            said = [model.predict(t.as_py()) for t in rb.column(len(names))]
-            more = [pa.array([model.familiar(t.as_py()) >= model.bound for t in rb.column(len(names))], pa.bool_())] if known else []
-            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array([k for k, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64()), *more], names=[*names, "lang_pred", "score", *["known"][: len(more)]])
 
-    return rows.mapInArrow(predict, schema)
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns, whose text has a letter and is as familiar as the model's bound at least.
+
+    Null and empty texts go, and all rows where the model has no language. Columns of any name pass through; repeated rows
+    stay or go together; null ids stay; an empty table gives an empty result.
+    """
+    said = _said(docs, model, whole(docs), text_col, True).filter((F.col("lang_pred") != "und") & F.col("known"))
+    return said.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def train_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from rows whose id's crc32 modulo 3 is not 1 and predict all: doc_id, held_out, lang_pred, score."""
-    model = fit(docs.filter(crc_mod(F.col(id_col), 3) != 1), id_col, text_col, lang_col)
+    model = fit(docs.filter(crc_mod(column(id_col), 3) != 1), id_col, text_col, lang_col)
     out = identify(docs, model, id_col, text_col)
     return out.select(id_col, (crc_mod(F.col(id_col), 3) == 1).alias("held_out"), "lang_pred", "score")

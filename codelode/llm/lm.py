@@ -25,7 +25,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, cut
+from .common import Cuts, column, crc_mod, sliced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,6 +34,8 @@ END = 0x9E3779B97F4A7C15
 #: Words of a block at most, and bytes of text that make one; occurrences of a first word from which its pairs are spread; bits below a word's frequency class in its id.
 BLOCK_WORDS, BLOCK_BYTES, SPREAD, CLASS_SHIFT = 1_500_000, 8 << 20, 1 << 16, 44
 BUCKETS, CELLS2 = 24, 64
+#: Bytes of a block's hashes, or of its pairs, that a shard gets of all blocks together, about: what meets in one task.
+SHARD_BYTES = 12 << 20
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -70,7 +72,7 @@ def bucket(c: np.ndarray) -> np.ndarray:
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches put together until they hold about a block's text."""
     held: list[pa.RecordBatch] = []
-    for rb in batches:
+    for rb in sliced(batches, BLOCK_BYTES):
         held.append(rb)
         if sum(x.nbytes for x in held) >= BLOCK_BYTES:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -80,7 +82,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: (block, docs, codes, words, counts)."""
+    """Blocks of documents: (block, docs, codes, words, counts, tokens)."""
     part, seq = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
     for rb in _gathered(batches):
         ids, held = rb.column(0), rb.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -106,7 +108,7 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.repeat(~held[first:last], lens + 1)
             counts = np.bincount(seqs[own], minlength=len(order))
             docs = pickle.dumps((ids.slice(first, last - first).to_pylist(), held[first:last].tolist()))
-            yield pa.RecordBatch.from_pydict({"block": pa.array([part << 32 | seq], pa.int64()), "docs": pa.array([docs], pa.binary()), "codes": pa.array([pickle.dumps((pack(seqs), pack(lens)))], pa.binary()), "words": pa.array([hashes[order].tobytes()], pa.binary()), "counts": pa.array([pack(counts)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([part << 32 | seq], pa.int64()), "docs": pa.array([docs], pa.binary()), "codes": pa.array([pickle.dumps((pack(seqs), pack(lens)))], pa.binary()), "words": pa.array([hashes[order].tobytes()], pa.binary()), "counts": pa.array([pack(counts)], pa.binary()), "tokens": pa.array([len(seqs)], pa.int64())})
             first, seq = last, seq + 1
 
 
@@ -276,7 +278,7 @@ def score_block(n: int, v: int, weights: np.ndarray, shards: int):
         base = np.log10((cw + 0.5) / (n + 0.5 * (v + 1)))
         starts = np.cumsum(lens + 1) - lens - 1
         add = lambda x: np.add.reduceat(x, starts)
-        return pd.DataFrame({"i": pd.array(docs, "Int64"), "n_tokens": lens + 1, "n_known": add((cw > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(prob))})
+        return pd.DataFrame({"i": pd.array(docs, "string"), "n_tokens": lens + 1, "n_known": add((cw > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(prob))})
 
     return run
 
@@ -284,26 +286,28 @@ def score_block(n: int, v: int, weights: np.ndarray, shards: int):
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5, held: int = 1) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
-    Ids are integers. Texts are lower-cased in A-Z and read whole; a null text is empty and has one token, the end. Training
+    Ids may be of any type. Texts are lower-cased in A-Z and read whole; a null text is empty and has one token, the end. Training
     rows are those whose id's crc32 modulo ``fold`` is not ``held`` (a null id's is 0). Without a training row every
     probability is the uniform share. Repeated rows are trained on and scored as often as they occur; an empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read. There are as many shards as the blocks' words and pairs, counted in bytes, need.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), (crc_mod(F.col(id_col), fold) == held).alias("h"), F.col(text_col).alias("t"))
-    blocks = cut(rows.mapInArrow(encode, "block long, docs binary, codes binary, words binary, counts binary"), wide=True)
+    cut = Cuts(docs.select(column(id_col), column(text_col)))
+    rows = docs.select(column(id_col).cast("string").alias("i"), (crc_mod(column(id_col), fold) == held).alias("h"), column(text_col).alias("t"))
+    blocks = cut(rows.mapInArrow(encode, "block long, docs binary, codes binary, words binary, counts binary, tokens long"))
+    sizes = blocks.agg(F.sum(F.octet_length("words")).alias("words"), F.sum("tokens").alias("tokens")).first()
+    shards = max(1, -(-(sizes["words"] or 0) // SHARD_BYTES))
+    pair_shards = max(1, -(-8 * (sizes["tokens"] or 0) // SHARD_BYTES))
     part = lambda k, c: blocks.select("block", F.lit(k).alias("kind"), F.lit(0).alias("shard"), F.col(c).alias("data"))
     asked = blocks.select("block", "words", "counts").mapInPandas(ask_words(shards), "shard int, block long, data binary")
-    words = cut(asked.groupBy("shard").applyInPandas(count_words(shards), "block long, kind int, shard int, data binary, n long, v long"), wide=True)
+    words = cut(asked.groupBy("shard").applyInPandas(count_words(shards), "block long, kind int, shard int, data binary, n long, v long"))
     total = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
     known = part(0, "codes").unionByName(part(2, "docs")).unionByName(words.select("block", "kind", "shard", "data"))
-    asked = known.groupBy("block").applyInPandas(ask_pairs(shards), "shard int, block long, data binary")
-    pairs = cut(asked.groupBy("shard").applyInPandas(count_pairs(n), "block long, kind int, shard int, data binary, cell long, weight long"), wide=True)
+    asked = known.groupBy("block").applyInPandas(ask_pairs(pair_shards), "shard int, block long, data binary")
+    pairs = cut(asked.groupBy("shard").applyInPandas(count_pairs(n), "block long, kind int, shard int, data binary, cell long, weight long"))
     cells = pairs.filter("kind = 4").groupBy("cell").agg(F.sum("weight").alias("weight")).collect()
     weights = learn(sorted((r["cell"], r["weight"]) for r in cells), n, v)
     known = known.unionByName(pairs.filter("kind = 3").select("block", "kind", "shard", "data"))
-    out = known.groupBy("block").applyInPandas(score_block(n, v, weights, shards), "i long, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("i").cast(docs.schema[id_col].dataType).alias(id_col), (crc_mod(F.col("i"), fold) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = known.groupBy("block").applyInPandas(score_block(n, v, weights, pair_shards), "i string, n_tokens long, n_known long, base_score double, score double")
+    kind = docs.schema[id_col].dataType
+    return cut.done(out.select(F.col("i").cast(kind).alias(id_col), (crc_mod(F.col("i"), fold) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, Cuts, column, near, text_of
 
 #: Bits of a shuffle key and of a schedule point.
 BITS = 48
@@ -38,7 +38,20 @@ def _point(k):
     return F.conv(F.rpad(F.reverse(F.bin(k)), BITS, "0"), 2, 10).cast("long")
 
 
-def schedule(quota: DataFrame, block_words: int, buckets: int = 4096) -> DataFrame:
+def _upto(runs: DataFrame, value: str, name: str, width: int = 4096) -> DataFrame:
+    """Runs (source, run, value) with the sum of the same source's earlier runs as ``name``.
+
+    Two steps: sums over groups of ``width`` runs, then within each group; a source's runs never meet in one task.
+    """
+    runs = runs.withColumn("group", F.floor(F.col("run") / width))
+    before = lambda *by: Window.partitionBy("source", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = runs.groupBy("source", "group").agg(F.sum(value).alias("v")).withColumn("far", F.coalesce(F.sum("v").over(before("group")), F.lit(0)))
+    runs = runs.withColumn("close", F.coalesce(F.sum(value).over(before("group", "run")), F.lit(0)))
+    met = runs.alias("r").join(groups.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")) & (F.col("r.group") == F.col("g.group")))
+    return met.select("r.source", "r.run", f"r.{value}", (F.col("g.far") + F.col("r.close")).alias(name))
+
+
+def schedule(quota: DataFrame, block_words: int, buckets: int = 4096, cut: Cuts | None = None) -> DataFrame:
     """The mix in order: (slot, source, rank), slots 0, 1, ... dealt to sources by cumulative weight of the targets.
 
     Slot k has the k-th van der Corput point; the source whose interval of the cumulative targets holds the point gets it.
@@ -47,7 +60,7 @@ def schedule(quota: DataFrame, block_words: int, buckets: int = 4096) -> DataFra
     a sixteenth more points than needed are dealt. A source that still has fewer slots than its target needs, as small ones
     among many have, gets the missing ones after the last point, in the sources' order: every source reaches its target.
     """
-    spark = quota.sparkSession
+    spark, cut = quota.sparkSession, cut or Cuts(quota)
     total = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     q = quota.filter("target > 0").withColumn("all", F.sum("target").over(total))
@@ -65,8 +78,7 @@ def schedule(quota: DataFrame, block_words: int, buckets: int = 4096) -> DataFra
     slots = spark.range(count).select(F.col("id").alias("slot"), _point(F.col("id")).alias("at")).withColumn("cell", F.floor(F.col("at") / cell))
     dealt = slots.join(grid, "cell").filter("at >= lo and at < hi").withColumn("run", F.floor(F.col("slot") / 4096))
     dealt = cut(dealt.select("slot", "source", "target", "source_size", "run"))
-    runs = dealt.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n"))
-    runs = runs.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    runs = cut(_upto(dealt.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n")), "n", "base"))
     place = F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")) - 1
     named = dealt.withColumn("place", place).alias("d").join(runs.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.run") == F.col("r.run")))
     rank = (F.col("r.base") + F.col("d.place")).cast("long")
@@ -79,21 +91,21 @@ def schedule(quota: DataFrame, block_words: int, buckets: int = 4096) -> DataFra
     return used.unionByName(short.select((F.col("slot") + F.col("k")).alias("slot"), "source", "target", "source_size", "rank"))
 
 
-def shuffled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, size_bits: int = 9) -> tuple[DataFrame, DataFrame]:
+def shuffled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, cut: Cuts, size_bits: int = 9) -> tuple[DataFrame, DataFrame]:
     """Documents with the place of their first word in their source's shuffled stream; and the sources' sizes.
 
-    The order within a source is that of a keyed digest of id and text. Places are running sums in two steps: within runs of
-    the digest's leading bits, of about 512 documents each, then over the runs' totals. Rows that tie are the same row twice.
+    The order within a source is that of a keyed digest of id and text. Places are running sums in three steps: within runs of
+    the digest's leading bits, of about 512 documents each, within groups of runs, and over groups. Rows that tie are the same
+    row twice.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.md5(F.concat_ws("\u0001", F.lit(str(seed)), F.col(id_col).cast("string"), text))
+    text = text_of(text_col)
+    digest = F.md5(F.concat_ws("\u0001", F.lit(str(seed)), column(id_col).cast("string"), text))
     key = F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
-    base = cut(docs.select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key")))
+    base = cut(docs.select(column(id_col).alias("doc"), column(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key")))
     n = base.count()
     bits = max(0, (max(n, 1) >> size_bits).bit_length())
     d = base.withColumn("run", F.floor(F.col("key") / float(1 << (BITS - bits))).cast("long"))
-    runs = d.groupBy("source", "run").agg(F.sum("size").alias("words"))
-    runs = runs.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    runs = _upto(d.groupBy("source", "run").agg(F.sum("size").alias("words")), "words", "base")
     order = Window.partitionBy("source", "run").orderBy("key", "doc", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("size").over(order), F.lit(0)))
     d = d.alias("d").join(runs.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.run") == F.col("r.run")))
@@ -118,9 +130,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words take nothing; repeated rows each have their own place. An empty table gives an empty result. Columns other than
     the three named are not read.
     """
-    placed, sizes = shuffled(docs, id_col, text_col, source_col, seed)
+    cut = Cuts(docs.select(column(id_col), column(text_col), column(source_col)))
+    placed, sizes = shuffled(docs, id_col, text_col, source_col, seed, cut)
     quota = cut(targets(sizes, weights, share, most))
-    used = schedule(quota, block_words)
+    used = schedule(quota, block_words, cut=cut)
     number = F.ceil(F.col("source_size") / block_words)
     taken = used.withColumn("block", F.pmod(F.col("rank"), number)).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     parts = blocks(placed, block_words)
@@ -128,5 +141,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = met.groupBy(F.col("p.source").alias("source"), F.col("p.start").alias("start"), F.col("p.doc").alias("doc"), F.col("p.size").alias("size"))
     per = per.agg(F.sum(F.col("p.words") * F.coalesce("t.times", F.lit(0))).cast("long").alias("taken")).drop("start")
     bare = placed.filter("size = 0").select("source", "doc", "size", F.lit(0).cast("long").alias("taken"))
-    rows = per.unionByName(bare).alias("a").join(F.broadcast(quota).alias("q") if quota.count() <= 100_000 else quota.alias("q"), F.col("a.source").eqNullSafe(F.col("q.source")))
-    return rows.select(F.col("a.doc").alias(id_col), F.col("a.source").alias(source_col), "a.size", "q.source_size", F.round("q.target", 6).alias("target"), "a.taken")
+    rows = per.unionByName(bare).alias("a").join(near(quota).alias("q"), F.col("a.source").eqNullSafe(F.col("q.source")))
+    out = rows.select(F.col("a.doc").alias(id_col), F.col("a.source").alias(source_col), "a.size", "q.source_size", F.round("q.target", 6).alias("target"), "a.taken")
+    return cut.done(out)

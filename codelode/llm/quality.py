@@ -6,12 +6,13 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, crc_mod, small
+from .common import column, crc_mod, sliced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -24,16 +25,11 @@ def chunk_starts(n: int) -> list[int]:
     return [0] if n <= CHUNK else [*range(0, n - CHUNK, HOP), n - CHUNK]
 
 
-def chunks(raw: bytes, most: int | None = None) -> np.ndarray:
-    """(chunks, CHUNK) bytes, zero-padded; with ``most``, evenly spaced ones over the whole text."""
+def chunks(raw: bytes) -> np.ndarray:
+    """(chunks, CHUNK) bytes of the whole text, zero-padded."""
     starts = chunk_starts(len(raw))
-    if most and len(starts) > most:
-        starts = [starts[i] for i in np.linspace(0, len(starts) - 1, most).astype(int)]
-    out = np.zeros((len(starts), CHUNK), np.uint8)
-    for k, s in enumerate(starts):
-        piece = np.frombuffer(raw[s : s + CHUNK], np.uint8)
-        out[k, : len(piece)] = piece
-    return out
+    padded = np.frombuffer(raw.ljust(CHUNK, b"\0"), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[starts]
 
 
 class Network:
@@ -52,36 +48,52 @@ class Network:
             out += self.p["T"][j][x[:, j : j + last : STRIDE]]
         return out
 
-    def step(self, x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the log loss of documents y; x are chunks and doc says whose."""
-        p, n = self.p, len(y)
+    def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each chunk, where each filter responds most, the responses there, the hidden layer before its floor, and the logit."""
         r = self._responses(x)
         at = r.argmax(1)
-        z = np.take_along_axis(r, at[:, None, :], 1)[:, 0] + p["b"]
-        zr = np.maximum(z, 0)
-        h = zr @ p["A"] + p["a"]
-        hr = np.maximum(h, 0)
-        per = np.bincount(doc, minlength=n)
-        logit = np.bincount(doc, hr @ p["v"] + p["c"], n) / per
-        d = ((1 / (1 + np.exp(-logit)) - y) * np.where(y > 0, 1.0, self.tilt) / n).astype(np.float32)[doc] / per[doc].astype(np.float32)
-        dh = np.outer(d, p["v"]) * (h > 0)
-        dz = (dh @ p["A"].T) * (z > 0)
-        g = {"v": hr.T @ d, "c": np.array([d.sum()]), "A": zr.T @ dh, "a": dh.sum(0), "b": dz.sum(0), "T": np.zeros_like(p["T"])}
-        rows, cols = np.arange(len(x))[:, None], np.arange(FILTERS)[None, :]
-        for j in range(WIDTH):
-            np.add.at(g["T"][j], (x[rows, at * STRIDE + j], cols + 0 * at), dz)
+        z = np.take_along_axis(r, at[:, None, :], 1)[:, 0] + self.p["b"]
+        h = np.maximum(z, 0) @ self.p["A"] + self.p["a"]
+        return at, z, h, np.maximum(h, 0) @ self.p["v"] + self.p["c"]
+
+    def step(self, texts: list[bytes], y: np.ndarray, group: int = 1024) -> dict[str, np.ndarray]:
+        """Gradients of the log loss of whole texts with labels y, over all their chunks.
+
+        A text's logit is the mean of its chunks', as in scoring. Chunks pass in groups, so memory does not grow with a text.
+        """
+        p, n = self.p, len(y)
+        parts = [chunks(t) for t in texts]
+        own = np.repeat(np.arange(n), [len(x) for x in parts])
+        spans = range(0, len(own), group)
+        x = np.concatenate(parts) if len(own) <= group else None
+        of = lambda s: x if x is not None else np.concatenate([parts[d][np.arange(len(own))[s : s + group][own[s : s + group] == d] - first[d]] for d in np.unique(own[s : s + group])])
+        first = np.searchsorted(own, np.arange(n))
+        seen = [self.forward(of(s)) for s in spans]
+        per = np.bincount(own, minlength=n)
+        logit = np.bincount(own, np.concatenate([q[3] for q in seen]), n) / per
+        slope = ((1 / (1 + np.exp(-logit)) - y) * np.where(y > 0, 1.0, self.tilt) / n / per).astype(np.float32)[own]
+        g = {k: np.zeros_like(a, np.float64) for k, a in p.items()}
+        flat, cols = g["T"].reshape(WIDTH, -1), np.arange(FILTERS)[None, :]
+        for s, (at, z, h, _) in zip(spans, seen, strict=True):
+            d, part = slope[s : s + group], of(s)
+            zr, dh = np.maximum(z, 0), np.outer(d, p["v"]) * (h > 0)
+            dz = (dh @ p["A"].T) * (z > 0)
+            for k, v in (("v", np.maximum(h, 0).T @ d), ("c", d.sum()), ("A", zr.T @ dh), ("a", dh.sum(0)), ("b", dz.sum(0))):
+                g[k] += v
+            rows = np.arange(len(part))[:, None]
+            for j in range(WIDTH):
+                flat[j] += np.bincount((part[rows, at * STRIDE + j].astype(np.int64) * FILTERS + cols).ravel(), dz.ravel(), 256 * FILTERS)
         return g
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.004) -> Network:
-        """Adam over shuffled batches, 900 of them at least; the result depends on the documents and their order only."""
-        epochs = max(epochs, -(-900 * batch // max(1, len(docs))))
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.004) -> Network:
+        """Adam over shuffled batches, 600 of them at least; the result depends on the texts and their order only."""
+        epochs = max(epochs, -(-600 * batch // max(1, len(texts))))
         m, v, t, r = {k: 0 * a for k, a in self.p.items()}, {k: 0 * a for k, a in self.p.items()}, 0, np.random.default_rng(11)
         for e in range(epochs):
-            order = r.permutation(len(docs))
+            order = r.permutation(len(texts))
             for s in range(0, len(order), batch):
                 on = order[s : s + batch]
-                x = np.concatenate([docs[i] for i in on])
-                g = self.step(x, np.repeat(np.arange(len(on)), [len(docs[i]) for i in on]), y[on])
+                g = self.step([texts[i] for i in on], y[on])
                 t += 1
                 lr = rate * (1 - 0.9 * e / epochs)
                 for k in self.p:
@@ -112,27 +124,26 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(total / len(starts), -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, sample_chunks: int = 8) -> Network:
-    """Train on labelled rows: about ``sample`` of them (those of least id hash), ``sample_chunks`` evenly spaced chunks of each.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, sample_bytes: int = 64 << 20) -> Network:
+    """Train on whole texts of labelled rows: about ``sample`` of them (those of least id hash), fewer where they pass ``sample_bytes``.
 
-    An id with several labels takes their mean, from a half up label 1. Without labels of both kinds the network stays as it began.
+    Both bounds are on the sample of rows; every sampled text is learned from to its end. Ids may be of any type. An id with
+    several labels takes their mean, from a half up label 1; rows without an id or a label teach nothing, a null text is an
+    empty one, and an id that several documents have labels each of them. Rows that tie are taken in the order of their texts. Without
+    labels of both kinds, as with an empty table, the network stays as it began.
     """
     top = 1 << 40
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.avg(label_col).alias("y"))
+    known = labels.filter(column(label_col).isNotNull() & column(id_col).isNotNull()).groupBy(column(id_col).alias("i")).agg(F.avg(column(label_col)).alias("y"))
     n = known.count()
     picked = known.withColumn("h", F.pmod(F.xxhash64("i", F.lit("quality")), F.lit(top))).filter(F.col("h") < int(top * min(1.0, sample / max(1, n))) + 1)
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            yield pd.DataFrame({"i": p["i"], "y": p["y"], "x": [chunks((t or "").encode("utf-8", "replace"), sample_chunks).tobytes() for t in p["t"]]})
-
-    side = F.broadcast(picked) if small(picked, 2 * sample) else picked
-    d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(side, "i").select("i", "y", "t")
-    got = sorted((r["i"], bytes(r["x"]), r["y"] >= 0.5) for r in d.mapInPandas(pieces, "i long, y double, x binary").collect())
+    d = docs.select(column(id_col).alias("i"), F.coalesce(column(text_col), F.lit("")).alias("t")).join(F.broadcast(picked), "i")
+    held = d.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    d = d.filter(F.col("h") < int(top * min(1.0, sample / max(1, n)) * min(1.0, sample_bytes / max(1, held))) + 1)
+    got = sorted((r["h"], r["t"].encode("utf-8", "replace"), r["y"] >= 0.5) for r in d.select("h", "t", "y").collect())
     y = np.array([k for _, _, k in got], np.float32)
     net = Network()
     if 0 < y.sum() < len(y):
-        net.fit([np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for _, x, _ in got], y)
+        net.fit([t for _, t, _ in got], y)
     return net
 
 
@@ -143,20 +154,19 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     repeated rows pass through; an empty table gives an empty result; only the two columns named are read.
     """
 
-    bounded_batches(docs.sparkSession)
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
-        for p in batches:
-            s = np.array([net.score((t or "").encode("utf-8", "replace"), tables) for t in p["t"]], float)
-            yield pd.DataFrame({"i": p["i"], "s": s, "k": (s >= threshold).astype("int32")})
+        for rb in sliced(batches):
+            s = np.array([net.score((t.as_py() or "").encode("utf-8", "replace"), tables) for t in rb.column(1)], float)
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype("int32"), pa.int32())], names=["i", "s", "k"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(predict, f"i {kind}, s double, k int")
+    rows = docs.select(column(id_col).alias("i"), column(text_col).alias("t"))
+    out = rows.mapInArrow(predict, T.StructType([rows.schema["i"], T.StructField("s", T.DoubleType()), T.StructField("k", T.IntegerType())]))
     return out.select(F.col("i").alias(id_col), F.col("s").alias("score"), F.col("k").alias("predicted"))
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from rows whose id's crc32 modulo 5 is not 0 and score all: doc_id, held_out, score, predicted."""
-    net = fit(docs, labels.filter(crc_mod(F.col(id_col), 5) != 0), id_col, text_col)
+    net = fit(docs, labels.filter(crc_mod(column(id_col), 5) != 0), id_col, text_col)
     out = score(docs, net, id_col, text_col)
     return out.select(id_col, (crc_mod(F.col(id_col), 5) == 0).alias("held_out"), "score", "predicted")

@@ -26,8 +26,7 @@ def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linetree.dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_n").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text")
+    return linetree.dedup_lines(table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import LOWER, UPPER, Cuts, column, let, text_of
 
 #: The base patterns (Java and RE2 read them alike), in the order of the kinds.
 KINDS = ("assign", "access", "hex", "markov")
@@ -18,49 +18,32 @@ HEX = r"[0-9a-f]{32,}"  # the runs of [0-9a-f]+ of 32 and more: a run is taken w
 #: Candidates of the Markov test: runs of characters that keys and identifiers are made of.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 
-#: Parts of ordinary identifiers, the labelled sample of what is not secret.
-PARTS = """account active address after agent amount archive array async author average backup balance batch before binary
-block border branch bucket buffer build button cache calendar callback cancel category center change channel character check
-child clean client close cluster code collection color column command comment commit common compare complete component config
-connection console constant container content context control convert cookie copy count create current customer data database
-date debug default delete delivery deploy description detail device dialog dictionary directory disable discount display
-document domain download driver dynamic editor element email empty enable encoding engine entity entry environment error event
-example exception execute export expression external factory failure feature field file filter final first flag folder font
-format forward frame function generate global group handler hash header height hidden history host icon identifier image
-import index info initial inner input insert install instance integer internal invoice item iterator job join key label
-language last layer layout length level library limit line link list listener loader local location lock login manager map
-margin mask master match maximum member memory menu message method metric minimum mode model module monitor month name native
-network next node notification number object offset open operation option order origin output owner package page parameter
-parent parse partition password path pattern payment pending permission picture pipeline player plugin point policy port
-position prefix previous price primary print priority private process product profile program progress project property
-protocol provider public query queue quick random range reader record reference region register release remote remove render
-repeat report repository request reset resource response restore result return review role root route row rule sample save
-schedule schema scope score screen script search second section security select sender sequence serial server service session
-setting shape share signal simple size socket sort source space stack standard start state static status storage store stream
-string style subject submit summary support switch symbol system table target task template temporary test text theme thread
-time title toggle token tool total track transaction transfer transform tree trigger type unique unit update upload user
-utility validate value variable vector version view visible warning weight widget width window word worker wrapper write zone
-th nd ing er ea he on in ti or st en tion at an re es ed sh ha ou ble wh ly nt the and that with from this which
-der die und ein sch ung keit heit lich ver ent ge be zu au pf tz ber mit von auf que los las ado ar ez os as ie ue rr ll
-mente para como por una est ment eau eux oi ou ai aux le la les dans pour pas avec elle""".split()
+#: Labelled samples: what ordinary identifiers and words are put together from, in English, German, French, Spanish and Italian.
+PARTS = """account active address after agent amount archive array author average backup balance before binary block border branch
+bucket buffer button cache calendar cancel category change channel character check client cluster collection column command
+comment common component config connection constant container content context control count create current customer database
+default delivery description detail device directory display document domain download driver editor element enable engine
+environment error event example exception export factory feature field filter folder format function generate global handler
+height history identifier image import index information input install interface invoice iterator journal keyboard language
+layout length library location manager message method module network number object option package parameter password payment
+permission picture policy position process product project property protocol question record reference request response
+Entwicklung Gesellschaft Verwaltung Geschwindigkeit Zusammenfassung Krankenhaus Wissenschaft Freundschaft Bedingungen Rechnung
+Schule Zeitung Strasse Versicherung Ausbildung gouvernement recherche traitement anciennement directeur utilisateur bibliotheque
+developpement toujours beaucoup adresse vraisemblable mouvement conocimiento desarrollo universidad responsable trabajadores
+internacional administracion usuario biblioteca mensaje palabra direzione conoscenza amministrazione messaggio biblioteche""".split()
+#: Labelled samples: alphabets that keys are drawn from, by their names.
+DIGITS, SMALL, LARGE = "0123456789", LOWER, UPPER
+ALPHABETS = {"base64": LARGE + SMALL + DIGITS + "+/", "base62": LARGE + SMALL + DIGITS, "lower36": SMALL + DIGITS, "upper36": LARGE + DIGITS, "lower": SMALL, "upper": LARGE, "letters": LARGE + SMALL}
 
 
 def default_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Labelled strings (text, random): keys derived from digests, and identifiers put together from ordinary parts.
+    """Labelled strings (text, label): ``ordinary`` ones put together from PARTS, and random ones of each alphabet by its name.
 
-    ``n`` strings of either label, a fixed bound; nothing of the corpus is read.
+    ``n`` strings of either sort, a fixed bound, drawn by hashes of their numbers; nothing of any corpus is read.
     """
     i = F.col("id")
-    digest = F.unhex(F.sha2(i.cast("string"), 256))
-    form = F.pmod(i, F.lit(4))
-    keys = (
-        F.when(form == 0, F.regexp_replace(F.base64(digest), "=", ""))
-        .when(form == 1, F.sha1(i.cast("string")))
-        .when(form == 2, F.md5(i.cast("string")))
-        .otherwise(F.upper(F.conv(F.substring(F.sha2(i.cast("string"), 256), 1, 15), 16, 36)))
-    )
     parts = F.array(*[F.lit(x) for x in PARTS])
-    at = lambda k: F.get(parts, F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(PARTS))).cast("int"))
+    at = lambda k: F.lower(F.get(parts, F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(PARTS))).cast("int")))
     four = [at(k) for k in range(4)]
     style = F.pmod(F.xxhash64(i, F.lit("style")), F.lit(8))
     number = F.pmod(F.xxhash64(i, F.lit("number")), F.lit(10**9)).cast("string")
@@ -74,37 +57,64 @@ def default_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
         .when(style == 6, F.initcap(F.concat(*four)))
         .otherwise(F.concat(*four))
     )
-    ids = spark.range(n)
-    return ids.select(keys.alias("text"), F.lit(True).alias("random")).unionByName(ids.select(plain.alias("text"), F.lit(False).alias("random")))
+    ids, each = spark.range(0, n, 1, 1), -(-n // len(ALPHABETS))
+    out = ids.select(plain.alias("text"), F.lit("ordinary").alias("label"))
+    for name, alphabet in ALPHABETS.items():
+        drawn = [F.substring(F.lit(alphabet), F.pmod(F.xxhash64(i, F.lit(name), F.lit(k)), F.lit(len(alphabet))).cast("int") + 1, F.lit(1)) for k in range(32)]
+        out = out.unionByName(spark.range(0, each, 1, 1).select(F.concat(*drawn).alias("text"), F.lit(name).alias("label")))
+    return out
 
 
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of character pairs, random over ordinary, indexed by 128 * first + second.
+def train(samples: DataFrame) -> dict[str, list[float]]:
+    """Of each label but ``ordinary``, log-likelihood ratios of character pairs over ordinary, indexed by 128 * first + second.
 
-    Two first-order Markov chains over ASCII, from the pair counts of the labelled samples; a pair's probability is mixed
-    from its own count, its second character's share of the chain, and a uniform floor. At most 2 * 128 * 128 counts are collected.
+    First-order Markov chains over ASCII, from the pair counts of the labelled samples; a pair's probability is mixed from its
+    own count, its second character's share of the chain, and a uniform floor. A null string or label, a string of less than
+    two characters and pairs beyond ASCII teach nothing; a label without pairs, and an empty table, give the floor. At most
+    128 * 128 counts a label are collected.
     """
-    pairs = samples.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda k: F.substring(F.concat("text", F.lit("")), k, 2))).alias("p"))
-    pairs = pairs.filter(F.length("p") == 2).groupBy("random", F.ascii("p").alias("a"), F.ascii(F.substring("p", 2, 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    counts: dict[bool, dict[tuple[int, int], int]] = {True: {}, False: {}}
+    d = samples.filter("text is not null and label is not null")
+    pairs = d.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda k: F.substring("text", k, F.lit(2)))).alias("p"))
+    pairs = pairs.filter(F.length("p") == 2).groupBy("label", F.ascii("p").alias("a"), F.ascii(F.substring("p", 2, 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts: dict[str, dict[tuple[int, int], int]] = {"ordinary": {}}
     for r in pairs.filter("a < 128 and b < 128").collect():
-        counts[r["random"]][r["a"], r["b"]] = r["n"]
-    chains = []
-    for label in (True, False):
+        counts.setdefault(r["label"], {})[r["a"], r["b"]] = r["n"]
+
+    def chain(label: str) -> list[float]:
         first, second = [0] * 128, [0] * 128
         for (a, b), n in counts[label].items():
             first[a] += n
             second[b] += n
         total = sum(second) or 1
-        chains.append([0.75 * counts[label].get((a, b), 0) / (first[a] or 1) + 0.23 * second[b] / total + 0.02 / 95 for a in range(128) for b in range(128)])
-    return [round(math.log(x / y), 4) for x, y in zip(*chains, strict=True)]
+        return [0.75 * counts[label].get((a, b), 0) / (first[a] or 1) + 0.23 * second[b] / total + 0.02 / 95 for a in range(128) for b in range(128)]
+
+    plain = chain("ordinary")
+    return {label: [round(math.log(x / y), 4) for x, y in zip(chain(label), plain, strict=True)] for label in sorted(counts) if label != "ordinary"}
 
 
 def ratio(text: Column, table: Column) -> Column:
-    """The sum of the pairs' log-likelihood ratios along an ASCII string."""
+    """The greatest sum, over the labels' tables, of the pairs' log-likelihood ratios along an ASCII string."""
     codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
-    pair = lambda c: lambda acc, k: acc + F.get(table, F.get(c, k - 1) * 128 + F.get(c, k))
-    return let(codes, lambda c: F.when(F.size(c) > 1, F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), pair(c))).otherwise(F.lit(0.0)))
+    along = lambda c, t: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, k: acc + F.get(t, F.get(c, k - 1) * 128 + F.get(c, k)))
+    return let(codes, lambda c: F.when(F.size(c) > 1, F.array_max(F.transform(table, lambda t: along(c, t)))).otherwise(F.lit(0.0)))
+
+
+_SPANS = "array<struct<s:int,k:int,e:int>>"
+
+
+def running(lengths: Column) -> Column:
+    """Of an integer array, the sums before each place: in runs of the root of its size, so n of them cost n times that root."""
+
+    def runs(x):
+        w = F.ceil(F.sqrt(F.size(x))).cast("int")
+        total = lambda a: F.aggregate(a, F.lit(0), lambda acc, y: acc + y)
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / w).cast("int")), lambda k: F.slice(x, k * w + 1, w))
+        sums = lambda p: F.transform(p, total)
+        inner = lambda part, base: F.transform(part, lambda _, i: base + total(F.slice(part, F.lit(1), i)))
+        both = lambda p: let(sums(p), lambda q: F.flatten(F.transform(p, lambda part, k: inner(part, total(F.slice(q, F.lit(1), k))))))
+        return let(parts, both)
+
+    return F.when(F.size(lengths) > 0, let(lengths, runs)).otherwise(F.array().cast("array<int>"))
 
 
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
@@ -113,43 +123,38 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     Splitting at a pattern and extracting it walk the same leftmost non-overlapping matches, in time linear in the text.
     """
 
-    def placed(pieces, found, more):
-        step = lambda acc, k: F.struct(
-            (acc["at"] + F.length(F.get(pieces, k)) + F.length(F.get(found, k))).alias("at"),
-            F.when(keep(F.get(found, k), F.get(more, k)), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.get(pieces, k))).alias("s"), F.lit(kind).alias("k"), (acc["at"] + F.length(F.get(pieces, k)) + F.length(F.get(found, k))).alias("e"))))).otherwise(acc["out"]).alias("out"),
+    def placed(x):
+        steps = F.zip_with(F.slice(x["p"], F.lit(1), F.size(x["f"])), x["f"], lambda p, f: F.length(p) + F.length(f))
+        of = lambda ends: F.transform(
+            F.sequence(F.lit(0), F.size(x["f"]) - 1),
+            lambda k: F.when(keep(F.get(x["f"], k), F.get(x["m"], k)), let(F.get(ends, k) + F.length(F.get(x["p"], k)), lambda s: F.struct(s.alias("s"), F.lit(kind).alias("k"), (s + F.length(F.get(x["f"], k))).alias("e")))),
         )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+        return F.filter(let(running(steps), of), lambda y: y.isNotNull()).cast(_SPANS)
 
-    more = F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if kind == 0 else 0))
-    both = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("f"), more.alias("m"))
-    return F.when(text.rlike(pattern), let(both, lambda b: placed(b["p"], b["f"], b["m"]))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.struct(F.split(text, pattern, -1).alias("p"), found.alias("f"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == 0 else found).alias("m"))
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast(_SPANS))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, threshold: float = 12.0, least: int = 20) -> DataFrame:
     """One row per input row: its id, base and added spans as arrays of (s, k, e), places in code points, end exclusive.
 
     Base spans are the three patterns' matches that are long enough. A run of ``least`` and more key characters that overlaps
-    none of them is added where a random string explains it better than an ordinary identifier does, by a log-likelihood
-    ratio above ``threshold``. A null text is empty and has no spans; repeated rows give the same spans each; an empty table
-    gives an empty result; a null id is kept. The scan is one narrow stage, whatever the skew; only the spans found are dealt out.
+    none of them is added where a random string, of any alphabet of the samples, explains it better than an ordinary identifier
+    does, by a log-likelihood ratio above ``threshold``. A null text is empty and has no spans; repeated rows give the same
+    spans each; an empty table gives an empty result; a null id is kept; other columns are not read. The scan is one narrow
+    stage, whatever the skew; only the spans found are written.
     """
-    table = F.from_json(F.lit(json.dumps(train(samples if samples is not None else default_samples(docs.sparkSession)))), "array<double>")
-    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    t = F.col("_t")
-    spans = cut(
-        d.select(
-            F.col("_id").alias(id_col),
-            F.concat(
-                _spans(t, ASSIGN, 0, lambda m, v: F.length(v) >= 8),
-                _spans(t, ACCESS, 1, lambda m, v: F.length(m) >= 16),
-                _spans(t, HEX, 2, lambda m, v: F.length(m) >= 32),
-            ).alias("base"),
-            _spans(t, CANDIDATE.replace("20", str(least)), 3, lambda m, v: ratio(m, table) > threshold).alias("more"),
-        )
-    )
+    cut = Cuts(docs.select(column(id_col), column(text_col)))
+    tables = train(samples if samples is not None else default_samples(docs.sparkSession))
+    table = F.from_json(F.lit(json.dumps(list(tables.values()))), "array<array<double>>")
+    d = docs.select(column(id_col).alias("id"), text_of(text_col).alias("t"))
+    t = F.col("t")
+    base = F.concat(_spans(t, ASSIGN, 0, lambda m, v: F.length(v) >= 8), _spans(t, ACCESS, 1, lambda m, v: F.length(m) >= 16), _spans(t, HEX, 2, lambda m, v: F.length(m) >= 32))
+    more = _spans(t, CANDIDATE.replace("20", str(least)), 3, lambda m, v: ratio(m, table) > threshold)
+    spans = cut(d.select("id", base.alias("base"), more.alias("more")))
     apart = lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
-    return spans.select(id_col, F.array_sort("base").alias("base"), F.filter("more", apart).alias("added"))
+    return cut.done(spans.select(F.col("id").alias(id_col), F.array_sort("base").alias("base"), F.filter("more", apart).alias("added")))
 
 
 def span_text(spans: Column) -> Column:

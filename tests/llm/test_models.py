@@ -20,6 +20,17 @@ def test_language_edges(docs, no_docs):
     assert all(0 <= r.score <= 1 for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
     assert langid.train_and_identify(no_docs).count() == 0
+    model = langid.fit(docs)
+    assert langid.recognised(docs, model).columns == docs.columns
+    kept = [str(r) for r in langid.recognised(docs, model).collect()]
+    assert set(kept) <= {str(r) for r in docs.collect()}
+    assert not any(r.doc_id in (5, 6, 7) for r in langid.recognised(docs, model).collect())
+    assert langid.recognised(no_docs, model).count() == 0
+    for t in ("²½", "Ⅷ ⅷ", "123 ... !!", "©®", "_"):
+        assert model.predict(t) == ("und", 0.0)
+    long = "der Hund und die Katze " * 100_000
+    assert model.predict(long)[0] in model.langs
+    assert langid.Model(["de", "en"], np.zeros((2, 1 << langid.DIM_BITS), np.float32), np.array([0, 1])).predict("tie")[0] == "de"
 
 
 def test_language_families():
@@ -52,12 +63,15 @@ def test_quality_chunks_cover_the_text():
         assert all(b - a <= quality.HOP for a, b in zip(s, s[1:], strict=False))
 
 
-def test_quality_gradients():
-    """The backward pass against differences."""
+@pytest.mark.parametrize("group", [1024, 2])
+def test_quality_gradients(group):
+    """The backward pass over whole texts, in groups of chunks, against differences."""
     net = quality.Network(tilt=1.0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     r = np.random.default_rng(4)
-    x, doc, y = r.integers(97, 122, (5, quality.CHUNK)).astype(np.uint8), np.array([0, 0, 1, 2, 2]), np.array([1.0, 0.0, 1.0])
+    texts, y = [bytes(r.integers(97, 122, n).astype(np.uint8)) for n in (700, 100, 300)], np.array([1.0, 0.0, 1.0])
+    parts = [quality.chunks(t) for t in texts]
+    x, doc = np.concatenate(parts), np.repeat(np.arange(3), [len(p) for p in parts])
 
     def loss():
         z = np.maximum(net._responses(x).max(1) + net.p["b"], 0)
@@ -65,8 +79,8 @@ def test_quality_gradients():
         p = 1 / (1 + np.exp(-np.bincount(doc, out) / np.bincount(doc)))
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    g = net.step(x, doc, y)
-    for k, at in (("v", (2,)), ("c", (0,)), ("A", (1, 2)), ("a", (3,)), ("b", (1,))):
+    g = net.step(texts, y, group)
+    for k, at in (("v", (2,)), ("c", (0,)), ("A", (1, 2)), ("a", (3,)), ("b", (1,)), ("T", (3, 101, 4))):
         old, eps = net.p[k][at], 1e-5
         net.p[k][at] = old + eps
         up = loss()
@@ -82,6 +96,11 @@ def test_quality_edges(spark, docs, no_docs):
     assert len(got) == docs.count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert quality.train_and_score(no_docs, labels.limit(0)).count() == 0
+    long = spark.createDataFrame([("a", "word " * 400_000), ("b", "word " * 400_000), (None, ""), ("a", "word " * 400_000)], "doc_id string, text string")
+    got = quality.score(long, quality.Network()).collect()
+    assert len({r.score for r in got if r.doc_id}) == 1
+    few = quality.fit(docs, labels, sample_bytes=10)
+    assert isinstance(few, quality.Network)
 
 
 def test_quality_held_out(spark):
@@ -130,6 +149,39 @@ def test_lm_against_brute_force(docs, no_docs):
     assert lm.score_texts(no_docs).count() == 0
 
 
+def test_lm_scores_against_brute_force(spark):
+    """Every text's score from the mixture said again over plain counters, with the operator's own weights."""
+    rows = [(k, prose(k % 9, 40 + k)) for k in range(40)]
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
+    uni, pairs = Counter(), Counter()
+    for k, t in rows:
+        if not held(k):
+            w = tokens(t)
+            uni.update(w)
+            pairs.update(zip([None, *w], w, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    cells = Counter()
+    for (a, b), m in pairs.items():
+        f = min(1.0, (m - 1) / max(1, uni_of(uni, a) - 1))
+        x2 = int(np.clip(np.round(lm.CELLS2 - 1 + 2 * np.log2(f)), 1, lm.CELLS2 - 1)) if f > 0 else 0
+        cells[(int(lm.bucket(np.array([uni_of(uni, a) - 1]))[0]) * lm.CELLS2 + x2) * 1024 + int(lm.count_class(np.array([uni[b]]))[0])] += m
+    weights = lm.learn(sorted(cells.items()), n, v)
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        w, want = tokens(t), 0.0
+        for a, b in zip([None, *w], w, strict=False):
+            l2, l1, l0 = weights[int(lm.bucket(np.array([uni[a]]))[0])]
+            want += math.log10(l2 * pairs[a, b] / max(1, uni[a]) + l1 * uni[b] / n + l0 / (v + 1))
+        assert got[k] == pytest.approx(want, rel=1e-9)
+    names = spark.createDataFrame([(f"doc {k}", t) for k, t in rows], "doc_id string, text string")
+    assert {r.doc_id for r in lm.score_texts(names).collect()} == {f"doc {k}" for k, _ in rows}
+
+
+def uni_of(uni, a):
+    """A context's count as the operator sees it: the middle of its frequency class."""
+    return int(np.round(lm.class_count(lm.count_class(np.array([uni[a]]))))[0])
+
+
 def test_lm_mixture_is_a_distribution(spark):
     """Probabilities of all known words and one unknown after any word sum to 1, and held-out words gain from the pairs."""
     cells = [((5 * lm.CELLS2 + 40) * 1024 + 9, 50), ((5 * lm.CELLS2) * 1024 + 3, 20), ((0 * lm.CELLS2) * 1024 + 12, 10)]

@@ -1,17 +1,14 @@
-import re
+import random
 
 import numpy as np
 import pytest
 
 from codelode.llm import dart, linetree
+from tests.llm import brute
+from tests.llm.conftest import prose
 
 
-def shingles(t):
-    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
-    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-
-def brute(rows):
+def classes(rows):
     label = list(range(len(rows)))
 
     def find(x):
@@ -19,18 +16,17 @@ def brute(rows):
             x = label[x]
         return x
 
-    sets = [shingles(r.text) for r in rows]
+    sets = [brute.shingles(r.text) for r in rows]
     for a in range(len(rows)):
         for b in range(a):
-            both = len(sets[a] & sets[b])
-            if (rows[a].text or "").lower() == (rows[b].text or "").lower() or both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            if (rows[a].text or "").lower() == (rows[b].text or "").lower() or brute.alike(sets[a], sets[b]):
                 label[find(a)] = find(b)
     return [find(k) for k in range(len(rows))]
 
 
 def test_classes_against_brute_force(docs, no_docs):
     rows = docs.collect()
-    label = brute(rows)
+    label = classes(rows)
     least = {}
     for r, k in zip(rows, label, strict=True):
         least[k] = min((x for x in (least.get(k), r.doc_id) if x is not None), default=None)
@@ -40,7 +36,11 @@ def test_classes_against_brute_force(docs, no_docs):
     assert dart.near_classes(no_docs).count() == 0
     one = dart.one_of_each(docs)
     assert one.columns == docs.columns
-    assert one.count() == len(set(label))
+    kept = one.collect()
+    assert len(kept) == len(set(label))
+    have = {str(r) for r in rows}
+    assert all(str(r) in have for r in kept)
+    assert dart.one_of_each(no_docs).count() == 0
 
 
 def test_many_copies_chain(spark):
@@ -81,25 +81,78 @@ def test_counted_weighting(spark):
     assert got == {1: 1, 2: 2, 3: 2}
 
 
-def test_lines(docs, no_docs):
-    got = {(r.doc_id, r.source, r.lang): r for r in linetree.dedup_lines(docs, keep=("source", "lang")).collect()}
+def held(spark, rows, **options):
+    """dedup_lines of (id, text) rows against the definition."""
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in linetree.dedup_lines(d, **options).collect()), key=str)
+    want = sorted(((i, *w) for (i, _), w in zip(rows, brute.lines(rows, **options), strict=True)), key=str)
+    assert got == want
+    return {i: t for i, t, _, _ in got}
+
+
+def test_lines_edges(spark, docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    text = held(spark, rows)
+    assert "recurs" in text[12]
+    assert "recurs" not in text[13]
+    assert "recurs" not in text[14]
+    assert text[5] is None
+    for i, t in rows:
+        if i in (1, 3, 8, 11):
+            assert text[i] == t  # copies keep their lines
     assert linetree.dedup_lines(no_docs).count() == 0
-    assert len(got) <= docs.count()
-    by_id = {r.doc_id: r for r in got.values()}
-    assert "recurs" in by_id[12].text
-    assert "recurs" not in by_id[13].text
-    assert "recurs" not in by_id[14].text
-    assert by_id[14]._dropped == 1
-    assert by_id[14]._n == 3
-    assert by_id[5].text is None
-    for r in docs.collect():
-        if r.doc_id in (1, 2, 3, 4, 8, 11):
-            assert by_id[r.doc_id].text == r.text  # copies keep their lines: their neighbours are copies too
-
-
-def test_template_generalises_a_field(spark):
-    line = "please contact support team about order {} before friday or call the front desk"
-    rows = [(k, f"start {k} of text {k} {'x' * k}\n{line.format(n)}\nend {k} of text {'y' * k}") for k, n in enumerate(["red", "green", "blue", "mauve"])]
-    got = {r.doc_id: r.text for r in linetree.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert ["support" in got[k] for k in range(4)] == [True, False, False, False]
-    assert all(got[k].startswith("start") for k in range(4))
+    out = linetree.rewrite_lines(docs)
+    assert out.columns == docs.columns
+    was = {(r.doc_id, r.lang, r.source): r for r in docs.collect()}
+    for r in out.collect():
+        old = was[r.doc_id, r.lang, r.source].asDict()
+        changed = r.text != old["text"]
+        assert r.asDict() == old | {"text": r.text, "n_chars": len(r.text) if changed else old["n_chars"]}
+    assert linetree.rewrite_lines(no_docs).count() == 0
+
+
+def test_a_footer_of_two_lines_leaves_one_copy(spark):
+    """Multi-line blocks go though their lines always have the same neighbours, under long and under short bodies."""
+    footer = "\nAll rights reserved by the owners of this site\nWrite to the editor about anything you miss"
+    for body in (lambda k: prose(90 + k, 60), lambda k: f"w{k}x short unlike{'abcdef'[k]}"):
+        text = held(spark, [(k, body(k) + footer) for k in range(6)])
+        assert ["rights" in text[k] for k in range(6)] == [True, *[False] * 5]
+        assert ["editor" in text[k] for k in range(6)] == [True, *[False] * 5]
+
+
+def test_long_passages_that_repeat_go_and_copies_stay(spark):
+    """A passage of over 50 words in documents and in their copies goes everywhere but in its first document and that one's copies."""
+    passage = prose(5, 60)
+    bodies = [prose(20 + k, 80) for k in range(5)]
+    rows = [(k, f"{bodies[k]}\n{passage}\n{prose(40 + k, 20)}") for k in range(5)]
+    rows += [(10 + k, rows[k][1]) for k in range(5)] + [(20, rows[0][1].replace(bodies[0].split()[7], "altered", 1)), (21, rows[3][1].replace(bodies[3].split()[7], "altered", 1))]
+    text = held(spark, rows)
+    assert {i for i, t in text.items() if passage in t} == {0, 10, 20}
+    assert all(prose(40 + k, 20) in text[k] and prose(40 + k, 20) in text[10 + k] for k in range(5))
+
+
+def test_many_templates_in_a_leaf_and_short_lines(spark):
+    """Lines of one leaf with several templates, unrelated lines among them, and lines of one to seven tokens."""
+    r = random.Random(4)
+    a, b = "please note that order red was sent on friday to your home address", "please note that parcels with glass go by a slower road in winter"
+    rows = []
+    for k in range(30):
+        own = [f"own{k} line{k} {'xyz'[k % 3]}" + "q" * k]
+        x = a.split()
+        x[4] = ["red", "blue", "green", "mauve"][k % 4]
+        y = b.split()
+        y[7 + k % 2] = f"v{'abcdefghij'[k % 10]}"
+        noise = "please note that " + " ".join(r.choice("abcdefghijklmnop") * 4 for _ in range(10))
+        short = [["page 3 of", "thank you", "go on reading here now", "stop", "one two three four five six seven", "one two three four five six eleven"][k % 6]]
+        rows.append((k, "\n".join([*own, " ".join(x), *short, " ".join(y), noise])))
+    text = held(spark, rows)
+    assert sum("parcels" in t for t in text.values()) < 12
+    assert sum("order" in t for t in text.values()) == 1
+    assert sum("thank you" in t for t in text.values()) == 1
+    assert sum("stop" in t.split("\n") for t in text.values()) == 1
+    held(spark, rows, least_docs=4)
+
+
+def test_lines_on_the_smallest_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held(spark, [(r.doc_id, r.text) for r in d.collect()])
