@@ -1,6 +1,6 @@
 """Corpus preparation: five stages over ``documents``, each one of the operators in codelode.llm.
 
-A stage takes all that the one before it kept. All but the last return the columns of documents.
+A stage takes all that the one before it kept. All but the last return the columns of documents, of any names.
 """
 
 from __future__ import annotations
@@ -8,42 +8,43 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codelode.llm import dart, decontam, langid, linetree, mixing
-from codelode.llm.common import shared_dir, table
-
-#: A document goes if its text has no letter or no known language's trigrams, or if the model's score is below this.
-LEAST_SURE = 0.1
+from codelode.llm.common import remove, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents without a recognisable language go."""
-    model = langid.fit(docs)
-    names = docs.columns
-    said = langid.identify(docs, model, keep=tuple(names), known=True)
-    return said.filter((F.col("lang_pred") != "und") & F.col("known") & (F.col("score") >= LEAST_SURE)).select(*names)
+    """Operator 7: documents whose text has no letter (null and empty ones too), or no known language's trigrams, go.
+
+    The model learns from this input's rows with a text and a language. Repeated rows and rows without an id are judged like any
+    other, by their texts; an empty table, or one without any language, keeps nothing.
+    """
+    return langid.recognised(docs, langid.fit(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: recurring lines go but for their first place; every document stays."""
-    names = docs.columns
-    out = linetree.dedup_lines(docs, keep=tuple(names))
-    return out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names)
+    """Operator 4: lines of recurring templates go but for their first place; every document stays, and n_chars follows the text.
+
+    A null text stays null, a text that loses all its lines is empty, rows of one text lose the same lines.
+    """
+    return linetree.rewrite_lines(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each class of near copies stays."""
+    """Operator 3: one document of each class of near copies stays, that of the least id (null ids last); of repeated rows, one.
+
+    Empty and null texts are one class.
+    """
     return dart.one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that hold a benchmark passage go."""
+    """Operator 6: documents that hold a benchmark passage go; empty and null texts hold none; without items, all stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: how much the mix takes of each remaining document."""
+    """Operator 1: how much the mix takes of each remaining document; a null source is a source, a text without words gives nothing."""
     return mixing.mix(docs)
 
 
@@ -54,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder as Parquet and read again; a stage's input is then deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
