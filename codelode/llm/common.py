@@ -63,9 +63,9 @@ class Cuts:
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         self.paths: list[str] = []
-        split = self._bytes("spark.sql.files.maxPartitionBytes")
-        size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        self.files = max(2, -(-int(str(size)) // split)) if int(str(size)) < 1 << 60 else 1 << 20
+        leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(min(int(str(leaves.apply(k).stats().sizeInBytes())), 1 << 60) for k in range(leaves.size()))
+        self.files = min(max(2, -(-size // self._bytes("spark.sql.files.maxPartitionBytes"))), 1 << 24)
 
     def _bytes(self, key: str) -> int:
         return self.spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(self.spark.conf.get(key))

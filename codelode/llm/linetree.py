@@ -35,12 +35,13 @@ def parse(docs: DataFrame, id_col: str, text_col: str, cut: Cuts) -> DataFrame:
     masked = lambda c: F.when(few(c), F.regexp_replace(c, _NUMBER, "<*>")).otherwise(c)
     text = text_of(text_col)
     d = docs.select(column(id_col).alias("doc"), *key_of(text), F.length(text).alias("size"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    tokens = F.split(F.btrim(masked(F.col("line")), F.lit(" \t\n\x0b\f\r")), _SPACE)
+    bare = F.btrim(masked(F.col("line")), F.lit(" \t\n\x0b\f\r"))
+    tokens = F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.split(bare, _SPACE)).otherwise(F.split(bare, " "))  # one space is split without a regex
 
     def parsed(t):
         n = F.size(t)
-        edge = lambda k: F.when(n >= FIELDS, F.floor(n * k / FIELDS).cast("int")).otherwise(F.least(n, F.lit(k)))
-        run = lambda k: F.slice(t, edge(k) + 1, F.greatest(edge(k + 1) - edge(k), F.lit(0)))
+        edge = lambda k: F.shiftright(n * k, FIELDS.bit_length() - 1)  # noqa: E731  of n tokens in FIELDS, a power of two, runs
+        run = lambda k: F.when(n >= FIELDS, F.slice(t, edge(k) + 1, edge(k + 1) - edge(k))).otherwise(F.slice(t, k + 1, 1))
         fields = [F.when(n > k, F.xxhash64(run(k))).alias(c) for k, c in enumerate(_F)]
         return F.struct(F.when(F.get(t, F.lit(0)) == "", 0).otherwise(n).alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2"), F.xxhash64(n, F.slice(t, 1, DEPTH)).alias("leaf"), *fields)
 
@@ -152,14 +153,14 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     at = some.join(near(found), ["h1", "h2"]).withColumn("z", F.col("doc").isNull())
     at = cut(at.groupBy("p1", "p2", "k1", "k2", "pos").agg(F.min(F.struct("z", "doc")).alias("d"), F.max("size").alias("size"), F.max("chars").alias("chars")).select("p1", "p2", "k1", "k2", "pos", "d.z", "d.doc", "size", "chars"))
     place = F.struct("z", "doc", "k1", "k2", "size")
-    firsts = at.groupBy("p1", "p2").agg(F.min(place).alias("first"), (F.min("k1") != F.max("k1")).alias("on")).filter("on").drop("on")
-    up = copies(docs, text_col, at.join(firsts, ["p1", "p2"]), cut)
+    firsts = cut(at.groupBy("p1", "p2").agg(F.min(place).alias("first"), (F.min("k1") != F.max("k1")).alias("on")).filter("on").drop("on"))
+    up = copies(docs, text_col, at.join(near(firsts), ["p1", "p2"]), cut)
     classed = at.join(near(up), ["k1", "k2"], "left").select("p1", "p2", "k1", "k2", "pos", "z", "doc", F.coalesce("r1", "k1").alias("c1"), F.coalesce("r2", "k2").alias("c2"))
     per = classed.groupBy("p1", "p2", "c1", "c2").agg(F.min(F.struct("z", "doc", "k1", "k2")).alias("first"))
     again = per.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("first", "c1", "c2")).alias("f")).filter(F.col("m") >= least_docs)
-    again = again.select("p1", "p2", F.col("f.c1").alias("g1"), F.col("f.c2").alias("g2"))
+    again = cut(again.select("p1", "p2", F.col("f.c1").alias("g1"), F.col("f.c2").alias("g2")))
     own = classed.groupBy("p1", "p2", "k1", "k2").agg(F.min("pos").alias("own"))
-    gone = classed.join(again, ["p1", "p2"]).join(own, ["p1", "p2", "k1", "k2"]).filter("not (c1 = g1 and c2 = g2 and pos = own)")
+    gone = classed.join(near(again), ["p1", "p2"]).join(own, ["p1", "p2", "k1", "k2"]).filter("not (c1 = g1 and c2 = g2 and pos = own)")
     return cut(gone.select("k1", "k2", "pos").distinct().groupBy("k1", "k2").agg(F.collect_list("pos").alias("dropped")))
 
 
