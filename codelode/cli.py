@@ -1,4 +1,4 @@
-"""Command line: scan, index, graph, dashboard, policy, alerts, ask."""
+"""Command line: scan, index, graph, dashboard, policy, alerts, ask, serve."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Row, SparkSession
 
+from codelode import server
 from codelode.operators import governance
 from codelode.plans import reports, tools
 from codelode.sources import git, store, tree
@@ -43,13 +44,17 @@ def evaluate(report: dict, base: dict | None, rules: list[dict]) -> tuple[list[d
         if kind in governance.NEEDS_BASE and base is None:
             skip("no_base")
         elif kind == "health-delta":
-            drop = (base["health"]["score"] or 0) - (report["health"]["score"] or 0)
-            if drop > r.get("maxDrop", 0):
-                add(rid, f"health fell by {drop}")
+            before, now = base["health"]["score"], report["health"]["score"]
+            if before is None or now is None:
+                skip("not_measured")
+            elif before - now > r.get("maxDrop", 0):
+                add(rid, f"health fell by {before - now}")
         elif kind == "contamination-delta":
-            rise = (report["contamination"]["score"] or 0) - (base["contamination"]["score"] or 0)
-            if rise > r.get("maxRise", 0):
-                add(rid, f"duplication rose by {rise}")
+            before, now = base["contamination"]["score"], report["contamination"]["score"]
+            if before is None or now is None:
+                skip("not_measured")
+            elif now - before > r.get("maxRise", 0):
+                add(rid, f"duplication rose by {now - before}")
         elif kind == "no-new-duplication":
             keys = base["contamination"].get("pairKeys")
             if not governance.complete_pairs(len(keys) if keys is not None else None, len(base["contamination"]["findings"]), base["contamination"].get("total")):
@@ -84,11 +89,12 @@ def _glob(glob: str, name: str) -> bool:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="codelode", description=__doc__)
-    p.add_argument("verb", choices=["scan", "index", "graph", "dashboard", "policy", "alerts", "ask"])
+    p.add_argument("verb", choices=["scan", "index", "graph", "dashboard", "policy", "alerts", "ask", "serve"])
     p.add_argument("root", nargs="?", default=".")
     p.add_argument("--format", choices=["text", "json", "md", "sarif", "check-run"], default="text")
     p.add_argument("--out")
-    p.add_argument("--base")
+    p.add_argument("--base", help="a stored report; for serve, the folder of the base snapshot")
+    p.add_argument("--telemetry", help="for serve: a file for records of tool calls")
     p.add_argument("--head")
     p.add_argument("--policy")
     p.add_argument("--strict", action="store_true")
@@ -103,6 +109,9 @@ def main(argv: list[str] | None = None) -> int:
         text = f"generation {generation}, {n} files parsed"
     elif a.verb == "graph":
         text = "\n".join(r[0] for r in reports.graph_json(index(spark, a.root)).toLocalIterator())
+    elif a.verb == "serve":
+        server.serve(index(spark, a.root), base=tools.Index.of(spark, a.base) if a.base else None, log=a.telemetry)
+        return 0
     elif a.verb == "ask":
         kind, tool, out = tools.query_repository(index(spark, a.root), a.question)
         text = f"{kind} -> {tool}\n" + ("\n".join(str(r.asDict()) for r in out.limit(50).collect()) if out is not None else "no answer")
@@ -114,14 +123,24 @@ def main(argv: list[str] | None = None) -> int:
         elif a.verb == "scan":
             text = {"json": reports.to_json, "md": reports.markdown}.get(a.format, reports.terminal)(head)
         elif a.verb == "policy":
-            found, skipped, invalid = evaluate(head, base, (load(a.policy) or {"rules": governance.RATCHET})["rules"])
+            rules = (load(a.policy) or {"rules": governance.RATCHET})["rules"]
+            found, skipped, invalid = evaluate(head, base, rules)
+            unsaid = governance.disclosures(head, rules, _glob)
             blocking = sum(v["block"] for v in found)
             code = governance.exit_code(len(found), blocking, invalid, a.strict)
-            text = governance.sarif(found, [{"rule": k, "reason": f"{n} rules"} for k, n in skipped.items()]) if a.format == "sarif" else json.dumps(governance.check_run(found, invalid, a.strict)) if a.format == "check-run" else reports.governance_text(found, skipped)
+            if a.format == "sarif":
+                text = governance.sarif(found, [{"rule": k, "reason": f"{n} rules"} for k, n in skipped.items()] + [{"rule": "coverage", "reason": x} for x in unsaid])
+            elif a.format == "check-run":
+                text = json.dumps(governance.check_run(found, invalid, a.strict))
+            else:
+                text = "\n".join([reports.governance_text(found, skipped), *unsaid])
         else:
+            base = base or head
             row = lambda r: Row(health=r["health"]["score"], band=r["health"]["label"], contamination=r["contamination"]["score"] or 0)
-            fresh = set(head["contamination"]["pairKeys"]) - set((base or head)["contamination"]["pairKeys"])
-            text = "\n".join(f"{severity}: {kind}" for kind, severity in governance.report_alerts(row(head), row(base or head), len(fresh)))
+            fresh = set(head["contamination"]["pairKeys"] or ()) - set(base["contamination"]["pairKeys"] or ())
+            events = [{"kind": kind, "severity": severity, "module": "", "message": f"{kind.replace('-', ' ')} against the base"} for kind, severity in governance.report_alerts(row(head), row(base), len(fresh))]
+            events = sorted(events + governance.module_alerts(head["modules"], base["modules"]), key=lambda e: (governance.RANKS.index(e["severity"]), e["kind"], e["module"]))
+            text = json.dumps(events) if a.format == "json" else reports.alerts_markdown(events, head) if a.format == "md" else reports.alerts_text(events, head)
     Path(a.out).write_text(text) if a.out else print(text)
     return code
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 #: Verbs that lead a name without telling it apart, and words that a query is not about.
 LEADING_VERBS = "handle process execute run do perform apply".split()
-STOPWORDS = "a an the of in on at to for from by with and or is are was be this that it its".split()
+STOPWORDS = """a an and any are as at be been but by can did do does for from had has have how i if in into is it its just me my of on or
+our out please so that the their them then there these they this those to up us was we were what when where which who whom why
+will with would you your""".split()
 
 
 def words(text: Column) -> Column:
@@ -112,3 +114,18 @@ def fold_path(path: Column) -> Column:
     """A path without . and .. segments."""
     step = lambda acc, s: F.when((s == ".") | (s == ""), acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def doc_start(text: Column, line: Column, look: int = 30) -> Column:
+    """The line where what belongs to a declaration on ``line`` begins: its decorators, and above them a comment block or a run of //.
+
+    ``look`` lines above are looked at; a block that begins further up does not count.
+    """
+    above = F.slice(F.split(F.regexp_replace(text, "\r\n", "\n"), "\n"), F.greatest(line - look, F.lit(1)), F.greatest(F.least(line - 1, F.lit(look)), F.lit(0)))
+    run = lambda rows, rule: F.aggregate(F.reverse(rows), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, x: F.struct((acc["n"] + (acc["on"] & x.rlike(rule)).cast("int")).alias("n"), (acc["on"] & x.rlike(rule)).alias("on")))["n"]
+    marks = run(above, r"^\s*[@\[]")
+    rest = F.slice(above, F.lit(1), F.size(above) - marks)
+    opens = F.array_max(F.transform(rest, lambda x, i: F.when(x.rlike(r"^\s*/\*"), i + 1)))
+    closed = F.coalesce(F.get(rest, F.size(rest) - 1).rlike(r"\*/\s*$"), F.lit(False))
+    block = F.when(closed & opens.isNotNull(), F.size(rest) - opens + 1)
+    return F.when(line <= 1, line).otherwise(line - marks - F.coalesce(block, run(rest, r"^\s*//")))

@@ -112,6 +112,58 @@ def alerts(head: DataFrame, base: DataFrame, metrics: tuple[str, ...] = ("depth"
     return j.select("module", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
+#: Alerts by how much they matter.
+RANKS = ("critical", "warn", "info")
+
+
+def module_alerts(head: list[dict], base: list[dict], metrics: tuple[str, ...] = ("depth", "seams", "leverage", "locality")) -> list[dict]:
+    """``alerts`` over two reports' module rows, with the modules that entered a cycle, whom each goes to and what it says; worst first."""
+    was, now, out = {m["module"]: m for m in base}, {m["module"]: m for m in head}, []
+
+    def add(kind: str, severity: str, module: str, text: str, **more: object) -> None:
+        out.append({"kind": kind, "severity": severity, "module": module, "message": f"{module}: {text}", "route": now.get(module, {}).get("top_author"), **more})
+
+    for name, h in now.items():
+        b = was.get(name)
+        if b is None:
+            add("module-added", "info", name, f"new, {h.get('files')} files")
+            continue
+        if (b.get("bus_factor") or 0) >= 2 and h.get("bus_factor") == 1:
+            add("bus-factor-one", "critical", name, f"one author left who holds most of it (there were {b['bus_factor']})")
+        if h.get("in_cycle") and not b.get("in_cycle"):
+            add("new-cycle", "critical", name, "entered an import cycle")
+        for k in metrics:
+            x, y = b.get(k), h.get(k)
+            if x is not None and y is None:
+                add("metric-unavailable", "info", name, f"{k} is no longer measured (was {x})", metric=k)
+            elif x is not None and x - y >= METRIC_DROP:
+                add("metric-drop", "warn", name, f"{k} fell from {x} to {y}", metric=k)
+    for name in was.keys() - now.keys():
+        add("module-removed", "info", name, "gone")
+    return sorted(out, key=lambda e: (RANKS.index(e["severity"]), e["kind"], e["module"]))
+
+
+def disclosures(report: dict, rules: list[dict], matches) -> list[str]:
+    """What a policy's result can't tell (D5): globs that name no module, one module for all files, files left out, a cut list of copies."""
+    names = {m["module"] for m in report["modules"]} | {e[k] for e in report.get("importEdges") or [] for k in ("from_module", "to_module")}
+    out = []
+    for k, r in enumerate(rules):
+        for side in ("from", "to"):
+            glob = r.get(side)
+            if r.get("type") == "forbidden-dependency" and glob and glob != "*" and not any(matches(glob, n) for n in names):
+                out.append(f"{r.get('id', f'rule-{k}')}: no module is named by {side} {glob}")
+    if len(names) == 1 and (report.get("filesScanned") or 0) > 1:
+        out.append(f"all files are in one module, {min(names)}: nothing between modules could be checked")
+    if report.get("skippedFiles"):
+        out.append(f"{report['skippedFiles']} files were left out of the scan")
+    c = report["contamination"]
+    if not complete_pairs(len(c["pairKeys"]) if c.get("pairKeys") is not None else None, len(c["findings"]), c.get("total")):
+        out.append("the report's list of copies is cut: new ones may be missing")
+    elif any(r.get("type") == "no-new-duplication" for r in rules) and (c.get("total") or 0) > len(c["findings"]):
+        out.append(f"{c['total'] - len(c['findings'])} copies are known by their keys only and are not shown one by one")
+    return out
+
+
 def report_alerts(head: Row, base: Row, new_clones: int) -> list[tuple[str, str]]:
     """Alerts of whole reports: a drop of the band outranks a drop within it."""
     out = []

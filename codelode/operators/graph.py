@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,15 +74,36 @@ def impact(edges: DataFrame, starts: DataFrame, modules: DataFrame, depth: int =
     return out.withColumn("bucket", F.when(n == 0, "isolated").when(n <= 3, "local").when(n <= 10, "moderate").otherwise("wide"))
 
 
-def shortest_path(edges: DataFrame, start, goal, most: int = 64) -> DataFrame:
-    """(hops, path, direction): the least of the shortest paths along callees, or if there is none along callers; same node: 0 hops."""
+def affected(edges: DataFrame, changed: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(node, depth, confidence): callers that changed nodes (node) reach, changed ones among them.
+
+    Each changed node walks by itself, all at once: the frontier is keyed by (start, node), and a node counts where another's walk meets it.
+    """
+    e = settle(edges.filter("src != dst").groupBy(F.col("dst").alias("f"), F.col("src").alias("t")).agg(F.max("confidence").alias("link")))
+    frontier = seen = settle(changed.select("node").distinct().select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence")))
+    for level in range(1, depth + 1):
+        step = frontier.join(e, F.col("node") == F.col("f")).select("start", F.col("t").alias("node"), F.least("confidence", "link").alias("confidence"))
+        step = step.groupBy("start", "node").agg(F.max("confidence").alias("confidence")).join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        frontier = settle(step.select("start", "node", F.lit(level).alias("depth"), "confidence"))
+        if not frontier.limit(1).count():
+            break
+        seen = settle(seen.unionByName(frontier))
+    least = seen.filter("depth > 0").groupBy("node").agg(F.min(F.struct("depth", (-F.col("confidence")).alias("c"))).alias("m"))
+    return least.select("node", F.col("m.depth").alias("depth"), (-F.col("m.c")).alias("confidence"))
+
+
+def shortest_path(edges: DataFrame, start, goal) -> DataFrame:
+    """(hops, path, direction): the least of the shortest paths along callees, or if there is none along callers; same node: 0 hops.
+
+    The search goes on until the goal is met or nothing new is.
+    """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
     for direction, (f, t) in (("callees", ("src", "dst")), ("callers", ("dst", "src"))):
         e = settle(edges.select(F.col(f).alias("f"), F.col(t).alias("t")).filter("f != t").distinct())
         frontier = spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.array(F.lit(start).cast(kind)).alias("path"))
         seen = frontier.select("node")
-        for hops in range(most):
+        for hops in count():
             found = frontier.filter(F.col("node") == F.lit(goal).cast(kind))
             if found.limit(1).count():
                 return found.select(F.lit(hops).alias("hops"), "path", F.lit(direction).alias("direction"))
@@ -92,6 +115,21 @@ def shortest_path(edges: DataFrame, start, goal, most: int = 64) -> DataFrame:
     return spark.createDataFrame([], f"hops int, path array<{kind}>, direction string")
 
 
+def bypasses(imports: DataFrame) -> DataFrame:
+    """Imports (from_file, to_file, ...) of a file below a folder ``internal`` from outside the folder that holds it (G1).
+
+    The innermost such folder counts; one at the top of the tree is open to all.
+    """
+    holder = F.regexp_extract("to_file", "^(.+)/internal/(?!(?:.*/)?internal/)", 1)
+    return imports.withColumn("holder", holder).filter((F.col("holder") != "") & ~F.col("from_file").startswith(F.concat("holder", F.lit("/")))).drop("holder")
+
+
+def languages(files: DataFrame, k: int = 6) -> DataFrame:
+    """File endings by their number of files, the first k with the total of endings."""
+    ending = F.when(F.col("path").contains("."), F.element_at(F.split("path", r"\."), -1)).otherwise("other")
+    return ranked(files.groupBy(ending.alias("ending")).agg(F.count(F.lit(1)).alias("files")), [F.desc("files"), F.col("ending")], k)
+
+
 def introduced(current: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
     """Edges that the earlier table lacks."""
     return current.join(before.select(*keys).distinct(), keys, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import fold_path
+from codelode.operators.iterate import settle
 
 #: Endings tried in turn for a relative import.
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".vue", ".py", ".go", ".java", ".rb", ".rs", ".php", ".c", ".h", ".cpp", ".hpp", ".cs", ".dart", ".kt", ".swift", "/index.ts", "/index.tsx", "/index.js", "/__init__.py", "/mod.rs"]
@@ -57,13 +58,13 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame, bi
     """
     f = functions.select(F.col("id").alias("target"), F.col("file").alias("tf"), F.col("module").alias("tm"), F.col("name").alias("name"), F.col("type").alias("tt"))
     key = ["caller", "name", "member"]
-    c = calls.dropDuplicates(key)
+    c = calls.drop("receiver").dropDuplicates(key)
     sole = types.filter("declared = 1 and not is_interface").select(F.col("type").alias("receiver"))
 
-    typed = c.join(sole, "receiver").join(f.withColumnRenamed("tt", "receiver"), ["receiver", "name"])
-    typed = typed.groupBy(*key).agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).filter("n = 1").select(*key, "target", F.lit("receiver-type").alias("reason"), F.lit(0).alias("rung"))
+    typed = calls.filter("receiver is not null").join(sole, "receiver").join(f.withColumnRenamed("tt", "receiver"), ["receiver", "name"])
+    typed = typed.groupBy(*key, "receiver").agg(F.min("target").alias("target"), F.count_distinct("target").alias("n")).filter("n = 1").select(*key, "target", F.lit("receiver-type").alias("reason"), F.lit(0).alias("rung"))
 
-    named = c.join(f, "name")
+    named = settle(c.join(f, "name").select(*key, "file", "module", "target", "tf", "tm"))  # five rungs read it
     elsewhere = named.groupBy(*key).agg(F.count_if(F.col("target") != F.col("caller")).alias("others"))
     same = named.filter("tf = file").join(elsewhere, key).filter("target != caller or others = 0").select(*key, "target", F.lit("same-file").alias("reason"), F.lit(1).alias("rung"))
     bound = c.filter("not member").join(bindings, ["file", "name"]).select(*key, "target", F.lit("import-binding").alias("reason"), F.lit(2).alias("rung"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.numeric import round_half_up
+from codelode.operators.iterate import settle
 
 
 def islands(df: DataFrame, keys: list[str], at: str, gap: Column | int | float = 2) -> DataFrame:
@@ -32,9 +33,19 @@ def first_distinct(df: DataFrame, keys: list[str], value: str, pos: str, most: i
 
 
 def receipts(df: DataFrame, key: list[str], order: list[str], digest: str) -> DataFrame:
-    """Whether an answer repeats the previous answer of its key."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("repeat", F.coalesce(F.lag(digest).over(w) == F.col(digest), F.lit(False)))
+    """Whether an answer repeats the previous answer of its key.
+
+    Rows are dealt out by ranges of key and order, so one busy key is many partitions; what the first answer of a key in a
+    partition follows is the last one of the partitions before it, a row for each key and partition.
+    """
+    parts = settle(df.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part", *key).orderBy(*order)
+    d = parts.withColumn("_before", F.lag(digest).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = parts.groupBy(*key, "_part").agg(F.max(F.struct(*order, digest)).alias("_l")).withColumn("_l", F.col("_l")[digest])
+    last = last.withColumn("_carried", F.lag("_l").over(Window.partitionBy(*key).orderBy("_part"))).drop("_l")
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*key, "_part"]]
+    before = F.when(F.col("d._first"), F.col("l._carried")).otherwise(F.col("d._before"))
+    return d.alias("d").join(last.alias("l"), on).select(*[F.col(f"d.{c}") for c in df.columns], F.coalesce(before == F.col(f"d.{digest}"), F.lit(False)).alias("repeat"))
 
 
 def capped(df: DataFrame, keys: list[str], order: list[Column], cap: int) -> DataFrame:
@@ -69,10 +80,15 @@ def render_budgeted(sections: list[tuple[str, list[str]]], budget: int) -> list[
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Nearest-rank percentiles, the ceil(p n)-th least value; the last is NULL where it is the maximum."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    d = df.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    parts = [F.min(F.when(F.col("r") == F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(p) - F.lit(1e-9))), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
-    out = d.groupBy(*keys).agg(F.max("n").alias("n"), F.max(value).alias("most"), *parts)
+    """Nearest-rank percentiles, the ceil(p n)-th least value; the last is NULL where it is the maximum.
+
+    Values are counted map-side first, so what meets for one key is its different values, not its rows.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy(F.col(value)))
+    d = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_k").over(Window.partitionBy(*keys)))
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(p) - F.lit(1e-9)))
+    parts = [F.min(F.when((F.col("_upto") >= rank(p)) & (F.col("_upto") - F.col("_k") < rank(p)), F.col(value))).alias(f"p{round(p * 100)}") for p in shares]
+    out = d.groupBy(*keys).agg(F.max("_n").alias("n"), F.max(value).alias("most"), *parts)
     last = f"p{round(shares[-1] * 100)}"
     return out.withColumn(last, F.when(F.col(last) < F.col("most"), F.col(last)))

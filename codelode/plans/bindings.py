@@ -180,14 +180,14 @@ def identifier_tokens(spark, sf_dir):
 
 # ------------------------------------------------- ownership, windows, deltas
 
-_TOUCHED = "touched AS (SELECT o_orderkey AS commit, o_orderpriority AS author, 'n' || c_nationkey AS module FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F')"
+_TOUCHED = "touched AS (SELECT o_orderkey AS commit, o_orderpriority AS author, 'n' || c_nationkey AS module FROM orders JOIN customer ON o_custkey = c_custkey)"
 _OWN = f"""{_TOUCHED}, per AS (SELECT module, author, count(DISTINCT commit) AS n FROM touched GROUP BY ALL),
 r AS (SELECT *, row_number() OVER w AS rn, sum(n) OVER (PARTITION BY module ORDER BY n DESC, author ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER (PARTITION BY module) AS total FROM per WINDOW w AS (PARTITION BY module ORDER BY n DESC, author)),
 own AS (SELECT module, CAST(max(total) AS BIGINT) AS commits, count(*) AS authors, CAST(min(rn) FILTER (WHERE 5 * cum >= 4 * total) AS BIGINT) AS bus_factor, first(author ORDER BY rn) AS top_author, first(n ORDER BY rn) / max(total)::DOUBLE AS top_share FROM r GROUP BY module)"""
 
 
 def _touched(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("module"))
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("commit"), F.col("o_orderpriority").alias("author"), "module")
 
@@ -299,9 +299,9 @@ def used_exports(spark, sf_dir):
     return graph.used_exports(_imports(spark, sf_dir))
 
 
-@binding(f"WITH {_IMPORTS}, e AS (SELECT DISTINCT src, dst FROM imports WHERE src <> dst AND l_quantity = 50 AND l_returnflag = 'R' AND l_discount >= 0.09) SELECT x.src AS a, x.dst AS b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
+@binding(f"WITH {_IMPORTS}, e AS (SELECT DISTINCT src, dst FROM imports WHERE src <> dst) SELECT x.src AS a, x.dst AS b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
 def mutual_import_cycles(spark, sf_dir):
-    return graph.mutual_cycles(_imports(spark, sf_dir).filter("l_quantity = 50 and l_returnflag = 'R' and l_discount >= 0.09"))
+    return graph.mutual_cycles(_imports(spark, sf_dir))
 
 
 _INTERFACES = "faces AS (SELECT n_name AS module, min(s_suppkey) AS file FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name)"
@@ -316,10 +316,10 @@ def deep_imports(spark, sf_dir):
     return graph.deep_imports(_imports(spark, sf_dir), _interfaces(spark, sf_dir))
 
 
-@binding(f"WITH {_IMPORTS}, {_INTERFACES}, d AS (SELECT DISTINCT src, dst, target, l_shipdate >= TIMESTAMP '1998-01-01' AS late FROM imports JOIN faces ON dst = module WHERE l_quantity = 50 AND src <> dst AND target <> file) SELECT DISTINCT src, dst, target FROM d WHERE late AND (src, dst, target) NOT IN (SELECT (src, dst, target) FROM d WHERE NOT late)")
+@binding(f"WITH {_IMPORTS}, {_INTERFACES}, d AS (SELECT DISTINCT src, dst, target, l_shipdate >= TIMESTAMP '1993-01-01' AS late FROM imports JOIN faces ON dst = module WHERE src <> dst AND target <> file) SELECT DISTINCT src, dst, target FROM d WHERE late AND (src, dst, target) NOT IN (SELECT (src, dst, target) FROM d WHERE NOT late)")
 def introduced_deep_imports(spark, sf_dir):
-    i, faces = _imports(spark, sf_dir).filter("l_quantity = 50"), _interfaces(spark, sf_dir)
-    late = F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")
+    i, faces = _imports(spark, sf_dir), _interfaces(spark, sf_dir)
+    late = F.col("l_shipdate") >= F.lit("1993-01-01").cast("timestamp")
     return graph.introduced(graph.deep_imports(i.filter(late), faces), graph.deep_imports(i.filter(~late), faces), ["src", "dst", "target"]).select("src", "dst", "target")
 
 
@@ -348,14 +348,14 @@ def suffix_unique_resolution(spark, sf_dir):
 
 # --------------------------------------------------------------- call graph
 
-_CALLS = """o AS (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS dst, CASE WHEN o_totalprice >= 300000 THEN 1.0 WHEN o_totalprice >= 150000 THEN 0.9 ELSE 0.7 END::DOUBLE AS c FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+_CALLS = """o AS (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS dst, CASE WHEN o_totalprice >= 300000 THEN 1.0 WHEN o_totalprice >= 150000 THEN 0.9 ELSE 0.7 END::DOUBLE AS c FROM orders),
 edges AS (SELECT src, dst, max(c) AS c FROM o WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst), start AS (SELECT min(src) AS node FROM edges)"""
 
 
 def _calls(spark, sf_dir):
     day = Window.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey")
     c = F.when(F.col("o_totalprice") >= 300000, 1.0).when(F.col("o_totalprice") >= 150000, 0.9).otherwise(0.7)
-    o = table(spark, sf_dir, "orders").filter("o_orderpriority in ('1-URGENT', '2-HIGH')").select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(day).alias("dst"), c.alias("confidence"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(day).alias("dst"), c.alias("confidence"))
     return o.filter("dst is not null and src != dst").groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
 
 
@@ -496,14 +496,14 @@ def module_depth(spark, sf_dir):
     return metrics.depth(_depth_inputs(spark, sf_dir))
 
 
-_SEAMS = f"""{_IMPORTS}, {_INTERFACES}, dp AS (SELECT src AS module, count(DISTINCT (src, dst, target)) AS deep FROM imports JOIN faces ON dst = module WHERE src <> dst AND target <> file AND l_quantity = 50 AND l_discount >= 0.09 AND l_returnflag = 'R' GROUP BY src),
-ce AS (SELECT DISTINCT src, dst FROM imports WHERE src <> dst AND l_quantity = 50 AND l_returnflag = 'R' AND l_discount >= 0.09), cy AS (SELECT DISTINCT x.src AS module FROM ce x JOIN ce y ON x.src = y.dst AND x.dst = y.src),
+_SEAMS = f"""{_IMPORTS}, {_INTERFACES}, dp AS (SELECT src AS module, count(DISTINCT (src, dst, target)) AS deep FROM imports JOIN faces ON dst = module WHERE src <> dst AND target <> file GROUP BY src),
+ce AS (SELECT DISTINCT src, dst FROM imports WHERE src <> dst), cy AS (SELECT DISTINCT x.src AS module FROM ce x JOIN ce y ON x.src = y.dst AND x.dst = y.src),
 si AS (SELECT n_name AS module, n_nationkey % 2 = 0 AS needs, n_nationkey % 3 <> 0 AS has, coalesce(deep, 0) AS deep, cy.module IS NOT NULL AS cyc, n_nationkey % 4 <> 1 AS tested FROM nation LEFT JOIN dp ON dp.module = n_name LEFT JOIN cy ON cy.module = n_name),
 seams AS (SELECT module, CAST(greatest(0, 100 - CASE WHEN needs AND NOT has THEN 35 ELSE 0 END - least(8 * deep, 30) - CASE WHEN cyc THEN 25 ELSE 0 END - CASE WHEN tested THEN 0 ELSE 10 END) AS BIGINT) AS seams FROM si)"""
 
 
 def _seams(spark, sf_dir):
-    i = _imports(spark, sf_dir).filter("l_quantity = 50 and l_returnflag = 'R' and l_discount >= 0.09")
+    i = _imports(spark, sf_dir)
     deep = graph.deep_imports(i, _interfaces(spark, sf_dir)).groupBy(F.col("src").alias("module")).agg(F.count(F.lit(1)).alias("deep"))
     c = graph.mutual_cycles(i)
     cyc = c.select(F.col("a").alias("module")).union(c.select("b")).distinct().withColumn("in_cycle", F.lit(True))
@@ -518,13 +518,13 @@ def module_seams(spark, sf_dir):
     return _seams(spark, sf_dir)
 
 
-_LEV = f"""ue AS (SELECT dst, count(DISTINCT name) AS used, count(DISTINCT src) AS callers FROM imports WHERE src <> dst AND l_quantity = 50 AND l_returnflag = 'R' AND l_discount >= 0.09 GROUP BY dst),
+_LEV = f"""ue AS (SELECT dst, count(DISTINCT name) AS used, count(DISTINCT src) AS callers FROM imports WHERE src <> dst GROUP BY dst),
 li AS (SELECT n_name AS module, n_nationkey % 30 AS exported, coalesce(used, 0) AS used, coalesce(callers, 0) AS callers FROM nation LEFT JOIN ue ON dst = n_name),
 lev AS (SELECT module, exported, CAST(CASE WHEN exported = 0 THEN NULL WHEN callers = 0 THEN 10 ELSE floor(greatest(0, least(1, 0.55::DOUBLE * least(1.0, callers / least(greatest(25 - 1, 1), 6)::DOUBLE) + 0.45::DOUBLE * least(1.0, used / nullif(exported, 0)::DOUBLE) - 0.15::DOUBLE * least(1.0, exported / 25.0::DOUBLE))) * 100 + 0.5) END AS BIGINT) AS leverage FROM li)"""
 
 
 def _leverage(spark, sf_dir):
-    i = _imports(spark, sf_dir).filter("l_quantity = 50 and l_returnflag = 'R' and l_discount >= 0.09")
+    i = _imports(spark, sf_dir)
     u = graph.used_exports(i).select(F.col("dst").alias("module"), F.col("used_exports").alias("used"), F.col("imported_by").alias("callers"))
     m = table(spark, sf_dir, "nation").select(F.col("n_name").alias("module"), (F.col("n_nationkey") % 30).alias("exported")).join(u, "module", "left").fillna(0, ["used", "callers"])
     return metrics.leverage(m, F.lit(25)), m.select("module", F.col("exported").alias("exports"))
@@ -692,14 +692,14 @@ def symbol_signature_diff(spark, sf_dir):
 
 
 _POLICY = [("r1", "NATION_1*", "NATION_2", None), ("r2", "*", "NATION_3", "NATION_4"), ("r3", "NATION_5/*", "*", None), ("r4", "NATION_9", "NATION_7", None)]
-_VIOLATIONS = f"""{_IMPORTS}, e AS (SELECT src, dst, min(l_quantity) < 2 AS type_only, count(*) AS n FROM imports WHERE src <> dst AND l_quantity >= 1 AND l_discount >= 0.08 GROUP BY src, dst),
+_VIOLATIONS = f"""{_IMPORTS}, e AS (SELECT src, dst, count(*) % 4 = 0 AS type_only, count(*) AS n FROM imports WHERE src <> dst GROUP BY src, dst),
 pol(r, f, t, via) AS (VALUES ('r1', 'NATION_1*', 'NATION_2', NULL), ('r2', '*', 'NATION_3', 'NATION_4'), ('r3', 'NATION_5/*', '*', NULL), ('r4', 'NATION_9', 'NATION_7', NULL))"""
 _GLOB = "CASE WHEN {g} = '*' THEN true WHEN {g} LIKE '%/*' THEN {m} = {g}[:-3] OR starts_with({m}, {g}[:-2]) WHEN {g} LIKE '%*' THEN starts_with({m}, {g}[:-2]) ELSE {g} = {m} END"
 
 
 def _violations(spark, sf_dir, imports=None):
     i = imports if imports is not None else _imports(spark, sf_dir)
-    e = i.filter("src != dst and l_quantity >= 1 and l_discount >= 0.08").groupBy(F.col("src").alias("from_module"), F.col("dst").alias("to_module")).agg((F.min("l_quantity") < 2).alias("is_type_only"), F.count(F.lit(1)).alias("n")).withColumn("from_is_test", F.lit(False))
+    e = i.filter("src != dst").groupBy(F.col("src").alias("from_module"), F.col("dst").alias("to_module")).agg((F.count(F.lit(1)) % 4 == 0).alias("is_type_only"), F.count(F.lit(1)).alias("n")).withColumn("from_is_test", F.lit(False))
     rules = spark.createDataFrame([(r, "forbidden-dependency", f, t, via, False, False) for r, f, t, via in _POLICY], "rule string, type string, `from` string, `to` string, allowed_via string, include_type_only boolean, include_tests boolean")
     return governance.forbidden_edges(e, rules)
 
@@ -724,11 +724,11 @@ def policy_skipped_counters(spark, sf_dir):
     return governance.skipped(spark.createDataFrame(rules, "type string, `to` string"), has_base=False, has_edges=False)
 
 
-@binding(f"""WITH {_IMPORTS}, x AS (SELECT DISTINCT src || '::' || dst AS fp, l_shipdate >= TIMESTAMP '1998-06-01' AS late FROM imports WHERE src <> dst AND l_quantity = 50 AND l_returnflag = 'R')
+@binding(f"""WITH {_IMPORTS}, x AS (SELECT DISTINCT src || '::' || dst AS fp, l_shipdate >= TIMESTAMP '1992-06-01' AS late FROM imports WHERE src <> dst)
 SELECT fp AS fingerprint, CASE WHEN bool_and(late) THEN 'introduced' WHEN NOT bool_or(late) THEN 'resolved' ELSE 'pre_existing' END AS scope FROM x GROUP BY fp""")
 def diff_scope_partition(spark, sf_dir):
-    i = _imports(spark, sf_dir).filter("src != dst and l_quantity = 50 and l_returnflag = 'R'").withColumn("fingerprint", F.concat_ws("::", "src", "dst"))
-    late = F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp")
+    i = _imports(spark, sf_dir).filter("src != dst").withColumn("fingerprint", F.concat_ws("::", "src", "dst"))
+    late = F.col("l_shipdate") >= F.lit("1992-06-01").cast("timestamp")
     return governance.diff_scope(i.filter(late), i.filter(~late))
 
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.operators import graph, metrics
+from codelode.operators import governance, graph, metrics
 from codelode.plans import tools
 
 
@@ -21,6 +21,8 @@ def report(x: tools.Index) -> dict:
     chances = metrics.opportunities(m.withColumnRenamed("exported", "exports")).orderBy("pass", "score", "module")
     return {
         "version": 1,
+        "filesScanned": x.files.count(),
+        "skippedFiles": x.tables["skipped"].count() if "skipped" in x.tables else 0,
         "health": {"score": health["health"], "label": health["band"]},
         "modules": [r.asDict() for r in m.orderBy(F.col("depth").asc_nulls_last(), "module").collect()],
         "contamination": {"score": health["contamination"], "total": f.count(), "findings": [r.asDict() for r in top], "pairKeys": sorted(r[0] for r in f.select("pair_key").collect())},
@@ -78,3 +80,23 @@ def governance_text(violations: list[dict], skipped: dict[str, int], scope: dict
     if scope:
         rows.append(", ".join(f"{k} {n}" for k, n in sorted(scope.items())))
     return "\n".join(rows)
+
+
+def alerts_text(events: list[dict], head: dict) -> str:
+    """Alerts for a terminal: how many of each severity, then a line each."""
+    rows = [f"health {_cell(head['health']['score'])} {head['health']['label']}"]
+    if not events:
+        return "\n".join([*rows, "no regressions against the base"])
+    count = {s: sum(e["severity"] == s for e in events) for s in governance.RANKS}
+    rows.append(", ".join(f"{n} {s}" for s, n in count.items() if n))
+    return "\n".join([*rows, *(f"[{e['severity']}] {e['kind']}: {e['message']}" + (f" -> {e['route']}" if e.get("route") else "") for e in events)])
+
+
+def alerts_markdown(events: list[dict], head: dict) -> str:
+    """Alerts as one markdown table under a marker, so that a later message can take its place."""
+    cell = lambda v: str(v or "").replace("|", "\\|").replace("\n", " ")
+    rows = ["<!-- codelode-alerts -->", f"## Health alerts: {_cell(head['health']['score'])} ({head['health']['label']})", ""]
+    if not events:
+        return "\n".join([*rows, "No regressions against the base."])
+    rows += ["| severity | kind | finding | to |", "|---|---|---|---|"]
+    return "\n".join([*rows, *(f"| {e['severity']} | {e['kind']} | {cell(e['message'])} | {cell(e.get('route'))} |" for e in events)])

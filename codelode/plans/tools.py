@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.hashing import content_hash
-from codelode.functions.text import camel_tokens, span, test_stem
+from codelode.functions.text import camel_tokens, doc_start, query_tokens, span, specifier_package, test_stem
 from codelode.operators import duplicates, governance, graph, intent, metrics, resolution, search, windows
 from codelode.sources import parse, tree
 
@@ -66,7 +66,9 @@ class Index:
         f = self.functions
         fn = f.select("id", F.col("path").alias("file"), "module", "name", F.col("enclosing_type").alias("type"), "exported")
         one = lambda c, member: f.select(F.col("id").alias("caller"), F.col("path").alias("file"), "module", F.explode(c).alias("name"), F.lit(member).alias("member"), F.lit(None).cast("string").alias("receiver"))
-        calls = one("calls", False).unionByName(one("member_calls", True))
+        typed = self.tables["typed_calls"].select(F.concat_ws("#", "path", "fn").alias("caller"), F.col("method").alias("name"), F.col("type").alias("of")).distinct()
+        member = one("member_calls", True).join(typed, ["caller", "name"], "left").withColumn("receiver", F.col("of")).drop("of")
+        calls = one("calls", False).unionByName(member)
         named = self.file_imports.filter("to_file is not null and not is_type_only").select(F.col("from_file").alias("file"), "to_file", F.explode("named").alias("name"))
         bindings = named.join(fn.filter("exported").select(F.col("file").alias("to_file"), "name", F.col("id").alias("target")), ["to_file", "name"]).select("file", "name", "target").distinct()
         modules = self.file_imports.filter("to_module is not null").select(F.col("from_module").alias("module"), F.col("to_module").alias("target_module")).distinct()
@@ -108,14 +110,15 @@ def read_span(x: Index, path: str, start: int, end: int, context: int = 0, most:
 
 
 def read_function(x: Index, name: str, most: int = 160) -> DataFrame:
-    f = x.find(name)
-    last = F.least("end_line", F.col("start_line") + most - 1)
-    return f.join(x.raw.select("path", "content"), "path").select("node", "start_line", last.alias("last"), (F.col("end_line") > last).alias("clamped"), span(F.col("content"), F.col("start_line"), last).alias("text"))
+    """A function's lines, from the comment above it; what was cut is said."""
+    f = x.find(name).join(x.raw.select("path", "content"), "path").withColumn("first", doc_start(F.col("content"), F.col("start_line")))
+    last = F.least("end_line", F.col("first") + most - 1)
+    return f.select("node", "start_line", "first", last.alias("last"), (F.col("end_line") > last).alias("clamped"), span(F.col("content"), F.col("first"), last).alias("text"))
 
 
 def find_symbol(x: Index, query: str, limit: int = 8) -> DataFrame:
     s = x.tables["symbols"].select("path", "name", "kind", "start_line", "exported", camel_tokens(F.col("name")).alias("tokens"))
-    tokens = camel_tokens(F.lit(query))
+    tokens = query_tokens(F.lit(query))
     return graph.ranked(search.symbol_search(s, F.lit(query), tokens).drop("tokens"), [F.desc("score"), F.length("name"), F.col("path"), F.col("start_line")], min(limit, 25))
 
 
@@ -143,11 +146,11 @@ def _module_scores(x: Index) -> DataFrame:
     used = graph.used_exports(i).select(F.col("dst").alias("module"), F.col("used_exports").alias("used"), F.col("imported_by").alias("callers"))
     m = m.join(deep, "module", "left").join(cyc, "module", "left").join(tested, "module", "left").join(used, "module", "left").fillna(0, ["deep", "used", "callers"]).fillna(False, ["in_cycle", "tested"])
     n = m.count()
-    out = metrics.depth(m).drop("label").join(metrics.seams(m).drop("label"), "module").join(metrics.leverage(m, F.lit(n)).drop("label"), "module").join(m.select("module", "exported", "source_files", "all_lines", "files"), "module")
+    out = metrics.depth(m).drop("label").join(metrics.seams(m).drop("label"), "module").join(metrics.leverage(m, F.lit(n)).drop("label"), "module").join(m.select("module", "exported", "source_files", "all_lines", "files", "in_cycle"), "module")
     if x.commits is None:
-        return out.withColumn("locality", F.lit(None).cast("long")).withColumn("bus_factor", F.lit(None).cast("long")).withColumn("risk", F.lit(None).cast("long"))
+        return out.withColumn("locality", F.lit(None).cast("long")).withColumn("bus_factor", F.lit(None).cast("long")).withColumn("risk", F.lit(None).cast("long")).withColumn("top_author", F.lit(None).cast("string"))
     t = x.commits.select(F.col("commit_id").alias("commit"), "author", F.explode("files").alias("file")).join(f.select(F.col("path").alias("file"), "module"), "file").withColumn("dir", F.get(F.split("file", "/"), F.lit(0)))
-    return out.join(metrics.locality(metrics.cochange(t)).select("module", "locality"), "module", "left").join(metrics.ownership(t).select("module", "bus_factor", "risk"), "module", "left")
+    return out.join(metrics.locality(metrics.cochange(t)).select("module", "locality"), "module", "left").join(metrics.ownership(t).select("module", "bus_factor", "risk", "top_author"), "module", "left")
 
 
 def module_metrics(x: Index, module: str | None = None) -> DataFrame:
@@ -171,7 +174,8 @@ def _duplicate_view(x: Index) -> DataFrame:
 
 def findings(x: Index) -> DataFrame:
     f = _duplicate_view(x).filter(F.col("tokens") >= duplicates.CANDIDATE_TOKENS)
-    i = x.tables["imports"].select(F.col("from_file").alias("path"), "specifier").join(x.functions.select("path", "id"), "path").select("id", F.col("specifier").alias("target"))
+    i = x.file_imports.select(F.col("from_file").alias("path"), F.coalesce("to_file", specifier_package(F.col("specifier"))).alias("target"))
+    i = i.join(x.functions.select("path", "id"), "path").select("id", "target")
     return duplicates.cascade(f, i)
 
 
@@ -216,11 +220,12 @@ def dependents_of(x: Index, module: str) -> DataFrame:
 
 
 def boundary_check(x: Index, module: str | None = None) -> DataFrame:
-    """Deep imports and mutual cycles, of one module or all."""
+    """Deep imports, imports past an internal folder's holder, and mutual cycles, of one module or all."""
     interfaces = x.files.filter("is_index and not is_test").groupBy("module").agg(F.min("path").alias("file"))
     d = graph.deep_imports(x.module_imports, interfaces).select(F.lit("deep-import").alias("kind"), "src", "dst", "target")
+    past = graph.bypasses(x.file_imports.filter("to_module is not null")).select(F.lit("internal-import").alias("kind"), F.col("from_module").alias("src"), F.col("to_module").alias("dst"), F.col("to_file").alias("target")).distinct()
     c = graph.mutual_cycles(x.module_imports.filter("not is_type_only")).select(F.lit("cycle").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(None).cast("string").alias("target"))
-    out = d.unionByName(c)
+    out = d.unionByName(past).unionByName(c)
     return out.filter((F.col("src") == module) | (F.col("dst") == module)) if module else out
 
 
@@ -236,9 +241,9 @@ def diff_context(head: Index, base: Index) -> DataFrame:
 
 
 def change_impact(head: Index, base: Index) -> DataFrame:
-    """Callers that changed functions reach, each once."""
+    """Callers that changed functions reach, each once; a changed function that calls another is one of them."""
     starts = _changes(head, base).filter("status != 'removed'").select(F.col("id").alias("node"))
-    return graph.reach(head.edges, starts, reverse=True)
+    return graph.affected(head.edges, starts)
 
 
 def check_my_changes(head: Index, base: Index) -> DataFrame:
@@ -257,7 +262,7 @@ def tests_for(x: Index, path: str) -> DataFrame:
     i = x.tables["imports"].filter("from_is_test")
     by_import = resolution.relative_targets(i, x.files.select("path")).filter(F.col("to_file") == path).select(F.col("to_file").alias("target"), F.col("from_file").alias("test"))
     names = x.functions.filter((F.col("path") == path) & F.col("exported")).select("name")
-    by_call = x.tables["call_sites"].join(t, F.col("path") == F.col("test")).join(names, "name", "left_semi").select(F.lit(path).alias("target"), "test")
+    by_call = x.tables["call_sites"].filter("not is_field").join(t, F.col("path") == F.col("test")).join(names, "name", "left_semi").select(F.lit(path).alias("target"), "test")
     by_name = t.join(target, (test_stem(F.col("test")) == test_stem(F.col("target")))).select("target", "test")
     return resolution.tests_for([by_import, by_call, by_name]).orderBy(F.desc("routes"), "test")
 
@@ -311,23 +316,92 @@ def context_bundle(x: Index, name: str, purpose: str = "understand", budget: int
     return windows.render_budgeted([(s, lines(s)) for s in PROFILES[purpose]], budget)
 
 
+def _asked(x: Index, question: str) -> tuple[list[str], list[str]]:
+    """(names the question spells out, its other words)."""
+    q = F.lit(question)
+    row = x.spark.range(1).select(F.concat(intent.quoted(q), intent.code_shaped(q)).alias("n"), query_tokens(q).alias("t")).first()
+    spelled = [n for n in dict.fromkeys(row["n"]) if n.lower() not in ("what", "who", "which", "where", "how", "why", "does")]
+    return spelled, [t for t in dict.fromkeys(row["t"])]
+
+
+def find_target(x: Index, question: str, limit: int = search.MAX_CANDIDATES) -> DataFrame:
+    """Symbols a question may be about: id, name, path, start_line and confidence, best first (Q-2 to Q-4).
+
+    Names that the question spells out count first, else its words, with what this tree's vocabulary says they stand for. A
+    question that spells out a name of several words is about no symbol that lacks one of them.
+    """
+    spelled, said = _asked(x, question)
+    probes = spelled or said
+    split = {p: x.spark.range(1).select(camel_tokens(F.lit(p)).alias("t")).first()["t"] for p in probes}
+    terms = list(dict.fromkeys(t for p in probes for t in split[p]))
+    files = x.files.select("path", "module", "is_test", F.coalesce("comment_tokens", F.array().cast("array<string>")).alias("said"))
+    d = x.tables["symbols"].drop("module").join(files, "path").withColumn("tokens", camel_tokens(F.col("name"))).withColumn("id", F.concat_ws("#", "path", "name"))
+    first = Window.partitionBy("id").orderBy("start_line")
+    d = d.withColumn("_r", F.row_number().over(first)).filter("_r = 1").withColumn("terms", F.concat("tokens", "said")).persist()
+    vocab = search.vocabulary(d)
+    known = search.prefix_aliases(vocab).filter(F.col("rank") <= 8).select("alias", "target").union(search.acronym_aliases(d, vocab)).filter(F.col("alias").isin(*terms) if terms else F.lit(False))
+    stands: dict[str, list[str]] = {t: [] for t in terms}
+    for r in known.orderBy("alias", "target").limit(16 * max(1, len(terms))).collect():
+        stands[r["alias"]].append(r["target"])
+    words = lambda ts: F.array(*[F.lit(t) for t in ts]).cast("array<string>")
+    covers = lambda t: F.arrays_overlap("tokens", words([t, *stands[t]])).cast("int")
+    coverage = sum((covers(t) for t in terms), F.lit(0)) / F.lit(max(1, len(terms)))
+    used = F.size(F.array_except("tokens", words(terms))) == 0
+    exact = F.lower("name").isin(*[p.lower() for p in probes]) if probes else F.lit(False)
+    named = [split[p] for p in spelled if len(split[p]) > 1]
+    fits = exact
+    for ts in named:
+        fits = fits | (sum((covers(t) for t in ts), F.lit(0)) == len(ts))
+    lexical = search.bm25(d, list(dict.fromkeys([*terms, *(t for v in stands.values() for t in v)])))
+    best = lexical.agg(F.max("score").alias("best"))
+    place = F.concat(camel_tokens(F.col("path")), camel_tokens(F.col("module")))
+    rows = d.join(lexical, "id", "left").join(F.broadcast(best), F.lit(True)).filter(fits if named else F.lit(True))
+    rows = rows.select("id", "name", "path", "start_line", "kind", exact.alias("exact"), ((coverage == 1) & used).alias("all_tokens"), (used & (coverage > 0)).alias("subset"), coverage.alias("coverage"), F.coalesce(F.col("score") / F.nullif(F.col("best"), F.lit(0.0)), F.lit(0.0)).alias("lexical"), F.arrays_overlap(place, words(terms)).alias("path_hit"), "exported", "is_test")
+    scored = search.target_score(rows).filter("confidence > 0").select("id", "name", "path", "start_line", "kind", "confidence")
+    return scored.orderBy(F.desc("confidence"), "id").limit(limit)
+
+
 def query_repository(x: Index, question: str) -> tuple[str | None, str | None, DataFrame | None]:
-    """(intent, tool, answer) of a question in words; an unknown question says so instead of guessing."""
+    """(intent, tool, answer) of a question in words; an unknown question says so instead of guessing.
+
+    Where what it is about is not clear, the answer is the symbols it may be about.
+    """
     kind, tool = intent.route(question)
     if tool is None:
         return None, None, None
-    names = x.spark.range(1).select(F.concat(intent.quoted(F.lit(question)), intent.code_shaped(F.lit(question))).alias("n")).first()["n"]
-    names = [n for n in names if n.lower() not in ("what", "who", "which", "where", "how")] or [question.rstrip("?").split()[-1]]
-    if tool == "path_between":
-        return kind, tool, path_between(x, names[0], names[1]) if len(names) > 1 else None
     if tool in ("repo_map", "architecture_health", "similar_logic_exists"):
         return kind, tool, TOOLS[tool](x)
-    if tool in ("change_impact", "context_bundle"):
-        return kind, tool, None
+    spelled, _ = _asked(x, question)
+    there = [n for n in spelled if x.find(n).limit(1).count()]
+    if tool == "path_between":
+        return kind, tool, path_between(x, there[0], there[1]) if len(there) > 1 else None
+    if tool in ("dependencies_of", "dependents_of", "boundary_check", "module_metrics"):
+        last = spelled[0] if spelled else question.rstrip("?").split()[-1]
+        return kind, tool, TOOLS[tool](x, last)
+    if not there:
+        candidates = find_target(x, question).persist()
+        said = search.resolve(candidates.select(F.lit(question).alias("question"), "id", "confidence"), ["question"]).first()
+        if said is None or said["status"] == "unresolved":
+            return kind, tool, None
+        if said["status"] == "ambiguous":
+            return kind, "find_target", candidates
+        there = [said["target"]]
+    name = there[0]
+    if tool == "find_symbol":
+        return kind, tool, find_symbol(x, name.rsplit("#", 1)[-1])
+    if tool == "find_references":
+        return kind, tool, find_references(x, name.rsplit("#", 1)[-1])
+    if tool == "context_bundle":
+        rows = [(k, title, line, left) for k, (title, lines, left) in enumerate(context_bundle(x, name)) for line in lines or [""]]
+        return kind, tool, x.spark.createDataFrame(rows, "section int, title string, line string, left_out int") if rows else None
+    hit = x.find(name).orderBy("node").first()
     if tool == "tests_for":
-        hit = x.find(names[0]).orderBy("node").first()
         return kind, tool, tests_for(x, hit["path"]) if hit else None
-    return kind, tool, TOOLS[tool](x, names[0])
+    if tool == "change_impact":
+        if x.commits is None or hit is None:
+            return kind, tool, None
+        return kind, tool, x.commits.filter(F.array_contains("files", hit["path"])).select("commit_id", "author", "ts", F.size("files").alias("files")).orderBy("commit_id")
+    return kind, tool, TOOLS[tool](x, name)
 
 
 TOOLS = {f.__name__: f for f in (repo_map, file_outline, read_function, read_span, find_symbol, find_references, architecture_health, module_metrics, similar_logic_exists, impact_of, callers_of, callees_of, check_my_changes, boundary_check, diff_context, change_impact, tests_for, dependencies_of, dependents_of, path_between, query_repository, compare_implementations, context_bundle)}

@@ -1,4 +1,4 @@
-"""The tools over newline-delimited JSON-RPC 2.0 on stdin and stdout: initialize, tools/list, tools/call."""
+"""The tools over newline-delimited JSON-RPC 2.0 on stdin and stdout, with two resources and a prompt that show the tree at a glance."""
 
 from __future__ import annotations
 
@@ -11,16 +11,19 @@ from typing import IO
 from pyspark.sql import DataFrame
 
 from codelode.plans import tools
+from codelode.sources import store
 
 PROTOCOL = "2024-11-05"
-#: Tools that compare two snapshots take a base; the server has one snapshot and says so.
+#: Tools that compare two snapshots: they take the server's base, and say so where it has none.
 NEEDS_BASE = ("check_my_changes", "diff_context", "change_impact")
+#: Resources by address: the tool that each one shows.
+RESOURCES = {"codelode://repo-map": "repo_map", "codelode://health": "architecture_health"}
 
 
 def describe() -> list[dict]:
     out = []
     for name, f in tools.TOOLS.items():
-        args = [a for a in list(inspect.signature(f).parameters.values())[1:]]
+        args = [a for a in list(inspect.signature(f).parameters.values())[2 if name in NEEDS_BASE else 1 :]]
         kinds = {a.name: {"type": "integer" if a.annotation == "int" else "string"} for a in args}
         out.append({"name": name, "description": (f.__doc__ or name.replace("_", " ")).strip().split("\n")[0], "inputSchema": {"type": "object", "properties": kinds, "required": [a.name for a in args if a.default is inspect.Parameter.empty]}})
     return out
@@ -37,7 +40,7 @@ def render(answer: object, most: int = 200) -> str:
     return json.dumps(answer, default=str)
 
 
-def handle(index: tools.Index, message: dict) -> dict | None:
+def handle(index: tools.Index, message: dict, base: tools.Index | None = None) -> dict | None:
     """The reply to one message; notifications have none; errors are replies, never exceptions."""
     rid, method, params = message.get("id"), message.get("method"), message.get("params") or {}
     ok = lambda result: {"jsonrpc": "2.0", "id": rid, "result": result}
@@ -45,16 +48,42 @@ def handle(index: tools.Index, message: dict) -> dict | None:
     if rid is None:
         return None
     if method == "initialize":
-        return ok({"protocolVersion": PROTOCOL, "serverInfo": {"name": "codelode"}, "capabilities": {"tools": {}}})
+        return ok({"protocolVersion": PROTOCOL, "serverInfo": {"name": "codelode"}, "capabilities": {"tools": {}, "resources": {}, "prompts": {}}})
+    if method == "ping":
+        return ok({})
     if method == "tools/list":
         return ok({"tools": describe()})
+    if method == "resources/list":
+        return ok({"resources": [{"uri": uri, "name": tool, "description": (tools.TOOLS[tool].__doc__ or tool).strip().split("\n")[0], "mimeType": "text/plain"} for uri, tool in RESOURCES.items()]})
+    if method == "resources/read":
+        if not isinstance(uri := params.get("uri"), str):
+            return bad(-32602, "uri has to be a string")
+        if uri not in RESOURCES:
+            return bad(-32002, f"no such resource: {uri}")
+        try:
+            return ok({"contents": [{"uri": uri, "mimeType": "text/plain", "text": render(tools.TOOLS[RESOURCES[uri]](index))}]})
+        except Exception as e:
+            return bad(-32603, f"{uri}: {str(e)[:300]}")
+    if method == "prompts/list":
+        return ok({"prompts": [{"name": "orient", "description": "The module map of this tree, and which tool answers what."}]})
+    if method == "prompts/get":
+        if params.get("name") != "orient":
+            return bad(-32602, f"no such prompt: {params.get('name')}")
+        try:
+            shown = render(tools.repo_map(index))
+        except Exception:
+            shown = "The map can't be shown now; call repo_map."
+        text = "These are the modules of this tree. find_symbol finds a name, file_outline a file's shape, read_function its lines, context_bundle what belongs to it; query_repository takes a question in words.\n\n" + shown
+        return ok({"description": "Where things are", "messages": [{"role": "user", "content": {"type": "text", "text": text}}]})
     if method != "tools/call":
         return bad(-32601, f"unknown method {method}")
     name, args = params.get("name"), params.get("arguments") or {}
     if name not in tools.TOOLS:
         return bad(-32602, f"unknown tool {name}")
     if name in NEEDS_BASE:
-        return ok({"isError": True, "content": [{"type": "text", "text": "needs a base snapshot"}]})
+        if base is None:
+            return ok({"isError": True, "content": [{"type": "text", "text": "needs a base snapshot"}]})
+        args = {"base": base, **args}
     start = time.perf_counter()
     try:
         text, failed = render(tools.TOOLS[name](index, **args)), False
@@ -66,7 +95,8 @@ def handle(index: tools.Index, message: dict) -> dict | None:
     return ok({"isError": failed, "content": [{"type": "text", "text": text}], "meta": {"ms": ms, "tokens": (len(text) + 2) // 4}})
 
 
-def serve(index: tools.Index, source: IO[str] = sys.stdin, sink: IO[str] = sys.stdout) -> None:
+def serve(index: tools.Index, source: IO[str] = sys.stdin, sink: IO[str] = sys.stdout, base: tools.Index | None = None, log: str | None = None) -> None:
+    """Answer messages until the source ends; ``log`` is a file for telemetry of tool calls."""
     for line in source:
         if not line.strip():
             continue
@@ -75,7 +105,10 @@ def serve(index: tools.Index, source: IO[str] = sys.stdin, sink: IO[str] = sys.s
         except ValueError:
             reply = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "not JSON"}}
         else:
-            reply = handle(index, message) if isinstance(message, dict) else {"jsonrpc": "2.0", "id": None, "error": {"code": -32600, "message": "not a request"}}
+            reply = handle(index, message, base) if isinstance(message, dict) else {"jsonrpc": "2.0", "id": None, "error": {"code": -32600, "message": "not a request"}}
+            if log and isinstance(message, dict) and message.get("method") == "tools/call" and "result" in (reply or {}):
+                call, result = message.get("params") or {}, reply["result"]
+                store.append_telemetry(log, str(call.get("name")), call.get("arguments") or {}, result.get("meta", {}).get("ms", 0), len(result["content"][0]["text"]), not result["isError"])
         if reply is not None:
             sink.write(json.dumps(reply) + "\n")
             sink.flush()

@@ -5,10 +5,10 @@ from __future__ import annotations
 import subprocess
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.sources.classify import MAX_BYTES, is_code
+from codelode.sources.classify import CODE, MAX_BYTES
 
 #: Nothing that a repository configures may run, and no system settings apply.
 SAFE = ["-c", "core.hooksPath=/dev/null", "-c", "core.fsmonitor=false", "-c", "protocol.ext.allow=never", "-c", "protocol.file.allow=never", "-c", "core.quotePath=false"]
@@ -33,14 +33,15 @@ def log_lines(root: str, months: int = 12) -> list[str]:
 def commits(spark: SparkSession, lines: list[str]) -> DataFrame:
     """commits(commit_id, author, ts, files): runs of lines that a marker begins; commits without code files are dropped.
 
-    The grouping is a running count of markers over line numbers, so a log read from files groups the same way.
+    The log is one text, cut at its markers: what follows each is a commit's head and files, in the log's order.
     """
-    rows = spark.createDataFrame(list(enumerate(lines)), "n long, line string").withColumn("is_mark", F.col("line").startswith(MARK))
-    rows = rows.withColumn("commit_id", F.sum(F.col("is_mark").cast("int")).over(Window.orderBy("n")))
-    head = rows.filter("is_mark").select("commit_id", F.split("line", "\x01").alias("h"))
-    code = F.udf(lambda p: is_code(p), "boolean")
-    files = rows.filter("not is_mark and line != ''").select("commit_id", F.regexp_replace("line", r"\\", "/").alias("f")).filter(code("f")).groupBy("commit_id").agg(F.array_sort(F.collect_list("f")).alias("files"))
-    return head.join(files, "commit_id").select("commit_id", F.get("h", F.lit(2)).alias("author"), F.try_to_timestamp(F.get("h", F.lit(3))).alias("ts"), "files")
+    log = spark.createDataFrame([("\n".join(lines),)], "log string")
+    parts = log.select(F.posexplode(F.split("log", f"(?m)^{MARK}")).alias("commit_id", "part")).filter("commit_id > 0")
+    rows = parts.select("commit_id", F.split("part", "\n").alias("rows")).withColumn("head", F.split(F.get("rows", F.lit(0)), "\x01"))
+    code = lambda f: f.rlike(CODE) & ~f.endswith(".d.ts")
+    files = F.array_sort(F.filter(F.transform(F.slice("rows", F.lit(2), F.size("rows")), lambda f: F.regexp_replace(f, r"\\", "/")), code))
+    out = rows.select("commit_id", F.get("head", F.lit(0)).alias("author"), F.try_to_timestamp(F.get("head", F.lit(1))).alias("ts"), files.alias("files"))
+    return out.filter(F.size("files") > 0)
 
 
 def old_version(root: str, path: str, ref: str = "HEAD") -> tuple[str | None, str]:

@@ -1,7 +1,7 @@
 """A front end for the brace languages and Ruby (S5, S6, S8-S18): one tokeniser, language profiles, one scope walk.
 
-There is no grammar here, only tokens, so fields that need types stay NULL (not indexed); names, spans, calls, imports,
-visibility, shapes and sketches come from the token stream.
+There is no grammar here, only tokens: names, spans, calls, imports, visibility, shapes and sketches come from the token stream,
+and so do the declared types of parameters, locals and fields, as far as a name stands beside one. A name with two types has none.
 """
 
 from __future__ import annotations
@@ -175,6 +175,78 @@ def calls_of(ts: list[Token]) -> list[tuple[str, int, bool]]:
     return out
 
 
+def fields_of(ts: list[Token]) -> list[tuple[str, int, bool]]:
+    """(name, line, member) of each member that a body reads or writes without calling it."""
+    return [(t.text, t.line, True) for k, t in enumerate(ts) if k and t.kind == "i" and ts[k - 1].text in (".", "?.", "->") and (k + 1 == len(ts) or ts[k + 1].text != "(")]
+
+
+#: Languages that write a type before the name, and words that may stand before a name with its type behind.
+TYPE_FIRST = frozenset("java cs dart c cpp php".split())
+_DECLARES = frozenset("( , ; { } let const var val mut private public protected readonly static lateinit final weak".split())
+_named_type = lambda t: t.kind == "i" and t.text[:1].isupper() and t.text not in KEYWORDS
+
+
+def declared(ts: list[Token], lang: str, fields: bool = False) -> dict[str, str | None]:
+    """Types of names that these tokens declare: beside the name, or by what it is made from; None where they disagree.
+
+    ``fields``: of a class body, whose methods' bodies are passed over.
+    """
+    out: dict[str, str | None] = {}
+    k, depth = 0, 0
+    while k < len(ts):
+        t = ts[k]
+        depth += (t.text == "{") - (t.text == "}") if t.kind == "o" else 0
+        if t.kind != "i" or t.text in KEYWORDS or fields and depth:
+            k += 1
+            continue
+        at = lambda j: ts[k + j] if 0 <= k + j < len(ts) else Token("o", "", 0)  # noqa: B023, E731
+        name = kind = None
+        if at(1).text == ":" and lang not in TYPE_FIRST and (at(-1).text in _DECLARES or k == 0):
+            j = 2
+            while at(j).text in ("&", "mut", "*"):
+                j += 1
+            if _named_type(at(j)):
+                name, kind = t.text, at(j).text
+        if lang in TYPE_FIRST and _named_type(t):
+            j = 1
+            while lang in ("c", "cpp") and at(j).text in ("*", "&", "const"):
+                j += 1
+            if at(j).kind == "i" and at(j).text not in KEYWORDS and at(j + 1).text in ("=", ";", ",", ")", ":", "in"):
+                name, kind = at(j).text, t.text
+        if lang == "go":
+            j = 1 + (at(1).text == "*")
+            if _named_type(at(j)) and at(-1).text in ("(", ",", "var", "{", ";"):
+                name, kind = t.text, at(j).text
+            made = 3 if at(1).text == ":" and at(2).text == "=" else 2 if at(1).text == ":=" else 0
+            made += bool(made) and at(made).text == "&"
+            if made and _named_type(at(made)) and at(made + 1).text == "{":
+                name, kind = t.text, at(made).text
+        if name is None and at(1).text == "=" and at(2).text == "new" and _named_type(at(3)):
+            name, kind = t.text, at(3).text
+        if name is None and at(1).text == "=" and lang in ("kt", "swift", "dart") and _named_type(at(2)) and at(3).text == "(":
+            name, kind = t.text, at(2).text
+        if name is not None:
+            out[name] = kind if out.get(name, kind) == kind else None
+        k += 1
+    return out
+
+
+def typed_calls_of(ts: list[Token], types: dict[str, str | None], own: str | None, fields: dict[str, str | None]) -> list[tuple[str, str]]:
+    """(method, type) of calls on a name, a field or the object itself whose type is declared."""
+    out = []
+    for k in range(len(ts) - 3):
+        recv, dot, method = ts[k], ts[k + 1], ts[k + 2]
+        if recv.kind != "i" or dot.text not in (".", "?.", "->", "!.") or method.kind != "i" or ts[k + 3].text != "(":
+            continue
+        if k and ts[k - 1].text in (".", "?.", "->", "::", "!."):
+            kind = fields.get(recv.text) if k > 1 and ts[k - 2].text in ("this", "self") and (k < 3 or ts[k - 3].text not in (".", "->")) else None
+        else:
+            kind = own if recv.text in ("this", "self") else types[recv.text] if recv.text in types else fields.get(recv.text)
+        if kind and (method.text, kind) not in out:
+            out.append((method.text, kind))
+    return out
+
+
 def _exported(name: str, words: set[str], p: Profile, depth_class: bool, lang: str) -> bool:
     if p.exported == "capital":
         return name[:1].isupper()
@@ -193,13 +265,21 @@ def parse(path: str, text: str, lang: str) -> dict:
         return _ruby(text)
     p = PROFILES.get(lang, PROFILES["ts"])
     ts = tokens(text, p)
-    functions, symbols, exports, sites = [], [], [], []
+    functions, symbols, exports, sites, typed = [], [], [], [], []
     classes: list[tuple[str, int]] = []  # name, closing index
+    members: list[dict[str, str | None]] = []  # of each class, its fields' types
+    sections: list[bool] = []  # of each class of C++, whether its members are public here
     k, modifiers = 0, set()
     while k < len(ts):
         t = ts[k]
         while classes and k > classes[-1][1]:
             classes.pop()
+            sections.pop()
+            members.pop()
+        if lang == "cpp" and classes and t.text in ("public", "protected", "private") and k + 1 < len(ts) and ts[k + 1].text == ":":
+            sections[-1] = t.text == "public"
+            k, modifiers = k + 2, set()
+            continue
         if t.kind == "o" and t.text in ";{}":
             modifiers = set()
         if t.kind == "i" and t.text in p.types and k + 1 < len(ts) and ts[k + 1].kind == "i":
@@ -217,6 +297,8 @@ def parse(path: str, text: str, lang: str) -> dict:
                 exports.append((name, "class" if kind == "class" else "type", 0, 0))
             if ts[body].text == "{" and (kind in ("class", "interface", "module", "enum")):
                 classes.append((name, close))
+                sections.append(lang != "cpp" or t.text != "class")
+                members.append(declared(ts[body + 1 : close], lang, fields=True))
                 k = body + 1
                 modifiers = set()
                 continue
@@ -227,10 +309,12 @@ def parse(path: str, text: str, lang: str) -> dict:
             params, required = parameters(ts[opening + 1 : closing], lang)
             norm, literals = shape(inner)
             words = modifiers | {x.text for x in ts[max(0, k - 1) : k]}
-            out = _exported(name, words, p, bool(classes), lang)
+            out = _exported(name, words, p, bool(classes), lang) and all(sections)
             called = calls_of(inner)
             functions.append({"name": name, "start_line": t.line, "end_line": ts[end].line, "decl_line": t.line, "exported": out, "param_count": len(params), "param_names": params, "required_params": required, "body_hash": fnv(norm), "body_tokens": len(norm), "literal_hash": fnv(literals), "def_hash": fnv([x.text for x in ts[k : end + 1]]), "calls": sorted({c for c, _, m in called if not m}), "member_calls": sorted({c for c, _, m in called if m}), "enclosing_type": classes[-1][0] if classes else None, "type_refs": None, "ngram_sketch": sketch(norm)})
-            sites += [(name, *c, False) for c in called]
+            sites += [(name, *c, False) for c in called] + [(name, *c, True) for c in fields_of(inner)]
+            local = declared(ts[opening : closing + 1] + inner, lang)
+            typed += [(name, *x) for x in typed_calls_of(inner, local, classes[-1][0] if classes else None, members[-1] if members else {})]
             if not classes:
                 symbols.append((name, "function", t.line, ts[end].line, out))
                 if out:
@@ -246,7 +330,7 @@ def parse(path: str, text: str, lang: str) -> dict:
     if lang == "ts":
         exports += [(n, "reexport", 0, 0) for m in re.finditer(r"export\s*\{([^}]*)\}\s*from", text) for n in (x.strip().split(" as ")[-1].strip() for x in m[1].split(",")) if n]
     base = path.rsplit("/", 1)[-1]
-    return {"functions": functions, "symbols": symbols, "exports": exports, "imports": _imports(text, lang), "call_sites": sites, "is_index": any(base.startswith(x) if x.endswith(".") else base == x for x in p.index)}
+    return {"functions": functions, "symbols": symbols, "exports": exports, "imports": _imports(text, lang), "call_sites": sites, "typed_calls": typed, "is_index": any(base.startswith(x) if x.endswith(".") else base == x for x in p.index)}
 
 
 def _function_at(ts: list[Token], k: int, p: Profile, lang: str, in_class: bool):

@@ -72,6 +72,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows += [("exports", {"path": path, "module": module, "is_test": test, "name": n, "kind": k, "required_params": r, "total_params": t}) for n, k, r, t in got["exports"]]
             rows += [("imports", {"from_file": path, "from_module": module, "from_is_test": test, "seq": s, "line": n, "specifier": spec, "named": named, "is_type_only": only}) for s, (n, spec, named, only) in enumerate(got["imports"])]
             rows += [("call_sites", {"path": path, "fn": fn, "name": n, "line": ln, "member": m, "is_field": fld}) for fn, n, ln, m, fld in got["call_sites"]]
+            rows += [("typed_calls", {"path": path, "fn": fn, "method": m, "type": t}) for fn, m, t in got.get("typed_calls", ())]
             out += [(k, json.dumps(x)) for k, x in rows]
         yield pd.DataFrame(out, columns=["table", "row"])
 
@@ -83,4 +84,4 @@ def parsed(files: DataFrame) -> DataFrame:
 
 def tables(records: DataFrame) -> dict[str, DataFrame]:
     """The canonical tables from parsed records."""
-    return {name: records.filter(F.col("table") == name).select(F.from_json("row", s).alias("r")).select("r.*") for name, s in schema.TABLES.items() if name != "typed_calls"}
+    return {name: records.filter(F.col("table") == name).select(F.from_json("row", s).alias("r")).select("r.*") for name, s in schema.TABLES.items()}

@@ -32,12 +32,49 @@ def parse(path: str, text: str) -> dict:
         if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets) and isinstance(node.value, ast.List | ast.Tuple):
             listed = {e.value for e in node.value.elts if isinstance(e, ast.Constant)}
     public = lambda name: name in listed if listed is not None else not name.startswith("_")
-    functions, symbols, exports, imports, sites = [], [], [], [], []
+    functions, symbols, exports, imports, sites, typed = [], [], [], [], [], []
+    attributes: dict[str | None, dict[str, str | None]] = {}  # of each class, its attributes' types
 
     def body_tokens(node: ast.AST) -> list[tokenize.TokenInfo]:
         first = node.body[0]
         return [t for n in range(first.lineno, node.end_lineno + 1) for t in lines.get(n, ()) if (n, t.start[1]) >= (first.lineno, first.col_offset)]
 
+    def type_of(node: ast.AST | None) -> str | None:
+        """The class that an annotation names or a call makes, by a capitalised name."""
+        if isinstance(node, ast.Call):
+            node = node.func
+        name = node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else node.value.split(".")[-1] if isinstance(node, ast.Constant) and isinstance(node.value, str) else ""
+        return name if name[:1].isupper() else None
+
+    def learn(into: dict[str, str | None], name: str, kind: str | None) -> None:
+        if kind:
+            into[name] = kind if into.get(name, kind) == kind else None
+
+    def typed_in(fn: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None) -> None:
+        local: dict[str, str | None] = {}
+        for a in [*fn.args.posonlyargs, *fn.args.args, *fn.args.kwonlyargs]:
+            learn(local, a.arg, type_of(a.annotation))
+        mine = attributes.setdefault(owner, {}) if owner else {}
+        for n in ast.walk(fn):
+            targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []
+            kind = type_of(n.annotation) if isinstance(n, ast.AnnAssign) else type_of(n.value) if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) else local.get(n.value.id) if isinstance(n, ast.Assign) and isinstance(n.value, ast.Name) else None
+            for t in targets:
+                if isinstance(t, ast.Name):
+                    learn(local, t.id, kind)
+                elif isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
+                    learn(mine, t.attr, kind)
+        calls = [c.func for c in ast.walk(fn) if isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute)]
+        for f in calls:
+            v = f.value
+            if isinstance(v, ast.Name):
+                kind = owner if v.id in ("self", "cls") else local.get(v.id)
+            else:
+                kind = mine.get(v.attr) if isinstance(v, ast.Attribute) and isinstance(v.value, ast.Name) and v.value.id == "self" else None
+            if kind and (fn.name, f.attr, kind) not in typed:
+                typed.append((fn.name, f.attr, kind))
+        called = {id(f) for f in calls}
+        sites.extend((fn.name, n.attr, n.lineno, True, True) for n in ast.walk(fn) if isinstance(n, ast.Attribute) and id(n) not in called)
+
     def visit(node: ast.AST, owner: str | None, top: bool) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
@@ -50,6 +87,7 @@ def parse(path: str, text: str) -> dict:
                 start = min([child.lineno, *(d.lineno for d in child.decorator_list)])
                 functions.append({"name": child.name, "start_line": start, "end_line": child.end_lineno, "decl_line": child.lineno, "exported": out, "param_count": len(args), "param_names": args, "required_params": max(0, len(args) - optional), "body_hash": fnv(norm), "body_tokens": len(norm), "literal_hash": fnv([t.string for t in ts if t.type in (tokenize.STRING, tokenize.NUMBER)]), "def_hash": fnv([child.name, *(t.string for t in ts)]), "calls": sorted({n for n, _, m in called if not m}), "member_calls": sorted({n for n, _, m in called if m}), "enclosing_type": owner, "type_refs": None, "ngram_sketch": sketch(norm)})
                 sites.extend((child.name, *c, False) for c in called)
+                typed_in(child, owner)
                 if top:
                     symbols.append((child.name, "function", start, child.end_lineno, out))
                     if out:
@@ -59,6 +97,8 @@ def parse(path: str, text: str) -> dict:
                 symbols.append((child.name, "class", child.lineno, child.end_lineno, top and public(child.name)))
                 if top and public(child.name):
                     exports.append((child.name, "class", 0, 0))
+                inits = [x for x in child.body if isinstance(x, ast.FunctionDef) and x.name == "__init__"]
+                child.body = inits + [x for x in child.body if x not in inits]  # attributes first
                 visit(child, child.name, False)
             elif isinstance(child, ast.Import):
                 imports.extend((child.lineno, a.name, [], False) for a in child.names)
@@ -74,4 +114,4 @@ def parse(path: str, text: str) -> dict:
                 visit(child, owner, top and isinstance(child, ast.If | ast.Try))
 
     visit(tree, None, True)
-    return {"functions": functions, "symbols": symbols, "exports": exports, "imports": imports, "call_sites": sites, "is_index": path.rsplit("/", 1)[-1] == "__init__.py"}
+    return {"functions": functions, "symbols": symbols, "exports": exports, "imports": imports, "call_sites": sites, "typed_calls": typed, "is_index": path.rsplit("/", 1)[-1] == "__init__.py"}

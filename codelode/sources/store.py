@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +75,18 @@ def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def append_telemetry(spark: SparkSession, path: str, tool: str, args: dict, ms: int, chars: int, ok: bool) -> None:
-    """One record; of the arguments only a digest is kept (K9)."""
-    digest = F.substring(F.sha2(F.lit(json.dumps(args, sort_keys=True)), 256), 1, 12)
-    spark.range(1).select(F.current_timestamp().alias("ts"), F.lit(tool).alias("tool"), digest.alias("args_hash"), F.lit(ms).cast("long").alias("ms"), F.lit(chars).cast("long").alias("chars"), F.lit((chars + 2) // 4).cast("long").alias("tokens"), F.lit(ok).alias("ok")).coalesce(1).write.mode("append").json(path)
+#: Bytes from which a telemetry file is put aside, as its name with .1.
+TELEMETRY_BYTES = 5 << 20
+
+
+def append_telemetry(path: str, tool: str, args: dict, ms: int, chars: int, ok: bool) -> None:
+    """One JSON line in a file beside the server (K9); of the arguments only a digest is kept. What can't be written is left out."""
+    digest = hashlib.sha256(json.dumps(args, sort_keys=True, default=str).encode()).hexdigest()[:12]
+    row = {"ts": datetime.now(UTC).isoformat(), "tool": tool, "args_hash": digest, "ms": ms, "chars": chars, "tokens": (chars + 2) // 4, "ok": ok}
+    try:
+        if os.path.exists(path) and os.path.getsize(path) >= TELEMETRY_BYTES:
+            os.replace(path, f"{path}.1")
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(json.dumps(row) + "\n")
+    except OSError:
+        return

@@ -24,6 +24,42 @@ def test_paths(spark):
     assert graph.shortest_path(e, "d", "nowhere").count() == 0
 
 
+def test_a_path_longer_than_any_cap(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(70)], "src long, dst long").coalesce(1)
+    p = graph.shortest_path(e, 0, 70).first()
+    assert (p.hops, p.path[-1]) == (70, 70)
+
+
+def test_affected_counts_changed_callers(spark):
+    e = spark.createDataFrame([("a", "b", 0.5), ("z", "a", 1.0), ("b", "b", 1.0)], "src string, dst string, confidence double")
+    got = {r.node: (r.depth, r.confidence) for r in graph.affected(e, spark.createDataFrame([("a",), ("b",)], "node string")).collect()}
+    assert got == {"a": (1, 0.5), "z": (1, 1.0)}
+
+
+def test_bypasses_and_languages(spark):
+    i = spark.createDataFrame([("a/b/x.go", "a/internal/y.go"), ("c/x.go", "a/internal/y.go"), ("c/x.go", "internal/y.go"), ("a/x.go", "a/internal/b/internal/z.go"), ("a/internal/b/q.go", "a/internal/b/internal/z.go")], "from_file string, to_file string")
+    assert sorted((r.from_file, r.to_file) for r in graph.bypasses(i).collect()) == [("a/x.go", "a/internal/b/internal/z.go"), ("c/x.go", "a/internal/y.go")]
+    f = spark.createDataFrame([("a.py",), ("b.c/d.py",), ("e.ts",), ("Makefile",)], "path string")
+    assert [(r.ending, r.files, r.total) for r in graph.languages(f).collect()] == [("py", 2, 3), ("other", 1, 3), ("ts", 1, 3)]
+
+
+def test_receipts_across_partitions(spark):
+    rows = [("k", n, str(n // 3 % 4)) for n in range(400)] + [("j", 1, "x"), ("j", 2, "x"), (None, 1, "a"), (None, 2, "a")]
+    got = {(r.k, r.n): r.repeat for r in windows.receipts(spark.createDataFrame(rows, "k string, n int, d string"), ["k"], ["n"], "d").collect()}
+    by = {}
+    for k, n, d in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        assert got[k, n] == (by.get(k) == d), (k, n)
+        by[k] = d
+
+
+def test_comment_above_a_declaration(spark):
+    from codelode.functions.text import doc_start
+
+    cases = [("/** says\n * what\n */\n@deco\nf()", 5, 1), ("x\n// one\n// two\nf()", 4, 2), ("a\nb\nf()", 3, 3), ("f()", 1, 1), ("/* a */\n\nf()", 3, 3), ("@a\n[b]\nf()", 3, 1), ("x */\nf()", 2, 2)]
+    d = spark.createDataFrame([(t, n, w) for t, n, w in cases], "t string, n int, w int")
+    assert [(r.t, r.got) for r in d.select("t", "w", doc_start(F.col("t"), F.col("n")).alias("got")).collect()] == [(t, w) for t, _, w in cases]
+
+
 def test_impact_buckets(spark):
     e = spark.createDataFrame([(f"c{k}", "f") for k in range(5)] + [("f", "g")], "src string, dst string")
     m = spark.createDataFrame([(f"c{k}", f"m{k % 2}") for k in range(5)], "node string, module string")
@@ -192,6 +228,24 @@ def test_alerts(spark):
     assert governance.report_alerts(row(None, "n/a", 0), row(70, "Moderate", 0), 0) == []
 
 
+def test_alerts_of_reports():
+    row = lambda name, **m: {"module": name, "depth": 80, "seams": 80, "leverage": None, "locality": 80, "bus_factor": 3, "in_cycle": False, "files": 2, "top_author": "ann"} | m
+    got = governance.module_alerts([row("a", depth=60, bus_factor=1, in_cycle=True, locality=None), row("new")], [row("a"), row("gone")])
+    assert [(e["severity"], e["kind"], e["module"]) for e in got] == [("critical", "bus-factor-one", "a"), ("critical", "new-cycle", "a"), ("warn", "metric-drop", "a"), ("info", "metric-unavailable", "a"), ("info", "module-added", "new"), ("info", "module-removed", "gone")]
+    assert got[0]["route"] == "ann"
+
+
+def test_disclosures():
+    from codelode.cli import _glob, evaluate
+
+    report = {"modules": [{"module": "one"}], "importEdges": [], "filesScanned": 3, "skippedFiles": 2, "health": {"score": None}, "contamination": {"pairKeys": None, "findings": [{}] * 20, "total": None, "score": None}}
+    said = governance.disclosures(report, [{"id": "r", "type": "forbidden-dependency", "from": "*", "to": "db"}], _glob)
+    assert len(said) == 4
+    assert said[0] == "r: no module is named by to db"
+    base = {"health": {"score": 70}, "contamination": {"score": 3, "findings": [], "pairKeys": []}}
+    assert evaluate(report, base, [{"type": "health-delta"}, {"type": "contamination-delta"}])[:2] == ([], {"not_measured": 2})
+
+
 def test_totals_stay_with_cut_answers(spark):
     d = spark.createDataFrame([("g", k) for k in range(20)], "k string, n int")
     top = graph.ranked(d, [F.desc("n")], 3).collect()

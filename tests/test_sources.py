@@ -102,7 +102,7 @@ def test_duplicate_tools(index):
 
 
 def test_source_tools(index):
-    assert tools.read_function(index, "feeOf").first().text.startswith("export function feeOf")
+    assert tools.read_function(index, "feeOf").first().text.startswith("// Computes the fee of a card payment\nexport function feeOf")
     assert tools.read_span(index, "py/base.py", 1, 1).first().text == "def helper(x):"
     assert tools.find_symbol(index, "OrderDesk").first().name == "OrderDesk"
     kinds = {r.kind for r in tools.find_references(index, "checkCard").collect()}
@@ -119,6 +119,13 @@ def test_questions(index):
     assert (kind, tool) == ("callers", "callers_of")
     assert out.count() == 2
     assert tools.query_repository(index, "good morning") == (None, None, None)
+    kind, tool, out = tools.query_repository(index, "explain checkCard")
+    assert tool == "context_bundle"
+    assert {r.title for r in out.collect()} >= {"source", "callers"}
+    best = tools.find_target(index, "where is the order desk").first()
+    assert best.name == "OrderDesk"
+    assert tools.find_target(index, "what does verifyNothingHere do").count() == 0
+    assert [r.name for r in tools.find_target(index, "checkCard").collect()][0] == "checkCard"
 
 
 def test_changes(spark, root, index, tmp_path):
@@ -177,8 +184,14 @@ def test_store_parses_only_what_is_new(spark, root, tmp_path):
     t = parse.tables(records)
     assert t["files"].filter("path = 'rs/lib.rs'").count() == 0
     assert t["files"].filter("path = 'py/base.py'").count() == 1
-    store.append_telemetry(spark, str(tmp_path / "telemetry"), "repo_map", {"a": 1}, 5, 10, True)
-    assert spark.read.json(str(tmp_path / "telemetry")).first().tokens == 3
+    log = tmp_path / "telemetry"
+    store.append_telemetry(str(log), "repo_map", {"a": 1}, 5, 10, True)
+    assert json.loads(log.read_text())["tokens"] == 3
+    log.write_text("x" * store.TELEMETRY_BYTES)
+    store.append_telemetry(str(log), "repo_map", {"a": 1}, 5, 10, True)
+    assert len(log.read_text().split("\n")) == 2
+    assert (tmp_path / "telemetry.1").exists()
+    store.append_telemetry(str(tmp_path / "no" / "such" / "folder"), "repo_map", {}, 1, 1, False)
 
 
 def test_stream_keeps_the_index(spark, root, tmp_path):
@@ -227,3 +240,63 @@ def test_server(index):
     assert got[4]["result"]["isError"]
     assert got[5]["error"]["code"] == -32602
     assert [r["error"]["code"] for r in got[6:]] == [-32700, -32600]
+    one = lambda method, **params: server.handle(index, {"id": 1, "method": method, "params": params}, base=index)
+    assert one("ping")["result"] == {}
+    assert len(one("resources/list")["result"]["resources"]) == 2
+    assert "orders" in one("resources/read", uri="codelode://repo-map")["result"]["contents"][0]["text"]
+    assert one("resources/read", uri="codelode://none")["error"]["code"] == -32002
+    assert one("resources/read")["error"]["code"] == -32602
+    assert one("prompts/list")["result"]["prompts"][0]["name"] == "orient"
+    assert "orders" in one("prompts/get", name="orient")["result"]["messages"][0]["content"]["text"]
+    assert one("prompts/get", name="x")["error"]["code"] == -32602
+    assert one("tools/call", name="diff_context")["result"]["isError"] is False
+
+
+def test_sections_of_cpp_classes():
+    text = "class A {\n  int hidden() { return 1; }\npublic:\n  int open() { return 2; }\nprivate:\n  int shut() { return 3; }\n  int shut2() { return 4; }\n};\nstruct B {\n  int free1() { return 5; }\nprotected:\n  int kin() { return 6; }\n};\nint outside() { return 7; }\n"
+    out = {f["name"]: f["exported"] for f in lexer.parse("a.cpp", text, "cpp")["functions"]}
+    assert out == {"hidden": False, "open": True, "shut": False, "shut2": False, "free1": True, "kin": False, "outside": True}
+
+
+TYPED = [
+    ("java", "class A { private Store store; void go(Book b, int n) { Cart c = new Cart(); c.add(b); store.put(n); this.stop(); other.run(); b.title = n; } void stop() {} }", {("add", "Cart"), ("put", "Store"), ("stop", "A")}, {"title"}),
+    ("ts", "export class A { private store: Store; go(b: Book, n: number) { const c = new Cart(); c.add(b.title); this.store.put(n); this.stop(); x ? y : Zed; } stop() { return 1; } }", {("add", "Cart"), ("put", "Store"), ("stop", "A")}, {"store", "title"}),
+    ("go", "package a\nfunc Go(b *Book, n int) { c := &Cart{}; c.Add(b.Title); b.Read(n) }", {("Add", "Cart"), ("Read", "Book")}, {"Title"}),
+    ("kt", "class A(val n: Int) { fun go(b: Book) { val c = Cart(); c.add(b); b.read() } }", {("add", "Cart"), ("read", "Book")}, set()),
+    ("cpp", "struct A { Store store; int go(Book& b) { Cart* c = make(); c->add(b.title); return store.put(b); } };", {("add", "Cart"), ("put", "Store")}, {"title"}),
+    ("rs", "impl A { fn go(&self, b: &Book) { let c: Cart = make(); c.add(b.title); self.stop(); } }", {("add", "Cart"), ("stop", "A")}, {"title"}),
+]
+
+
+@pytest.mark.parametrize(("lang", "text", "typed", "fields"), TYPED, ids=[x[0] for x in TYPED])
+def test_receivers_and_fields(lang, text, typed, fields):
+    got = lexer.parse(f"a.{lang}", text, lang)
+    assert {(m, t) for _, m, t in got["typed_calls"]} == typed
+    assert {n for _, n, _, _, field in got["call_sites"] if field} == fields
+
+
+def test_receivers_in_python():
+    from codelode.sources import python_front
+
+    got = python_front.parse("a.py", "class A:\n    def go(self, b: Book, n):\n        c = Cart()\n        c.add(b.title)\n        self.store.put(n)\n        self.stop()\n        n.run()\n    def __init__(self, s: Store):\n        self.store = s\n")
+    assert {(f, m, t) for f, m, t in got["typed_calls"]} == {("go", "add", "Cart"), ("go", "put", "Store"), ("go", "stop", "A")}
+    assert {(f, n) for f, n, _, _, field in got["call_sites"] if field} == {("go", "title"), ("go", "store"), ("__init__", "store")}
+
+
+def test_receiver_types_resolve_calls(spark, tmp_path):
+    (tmp_path / "src/shop").mkdir(parents=True)
+    (tmp_path / "src/shop/Cart.java").write_text("package shop;\npublic class Cart { public int total(int n) { int sum = n + 1; return sum; } }\n")
+    (tmp_path / "src/shop/Bill.java").write_text("package shop;\npublic class Bill { public int total(int n) { int sum = n + 2; return sum; } }\n")
+    (tmp_path / "src/shop/Desk.java").write_text("package shop;\npublic class Desk { private Bill bill; public int sum(Cart cart) { return cart.total(1); } public int owed() { return bill.total(2); } }\n")
+    x = tools.Index.of(spark, str(tmp_path))
+    got = {(r.caller.split("#")[1], r.target, r.reason, r.confidence) for r in x.calls.filter("target is not null").collect()}
+    assert got == {("sum", "src/shop/Cart.java#total", "receiver-type", 0.85), ("owed", "src/shop/Bill.java#total", "receiver-type", 0.85)}
+
+
+def test_names_of_the_package():
+    import codelode
+
+    for name in codelode.__all__:
+        assert getattr(codelode, name)
+    with pytest.raises(AttributeError):
+        codelode.nothing  # noqa: B018
