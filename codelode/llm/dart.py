@@ -188,6 +188,8 @@ def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, least: float
     """
     side = lambda c, n, p: signed.select(F.col("node").alias(c), F.col("n").alias(n), F.col("parity").alias(p))
     pairs = cut(pairs.join(side("a", "na", "pa"), "a").join(side("b", "n", "parity"), "b").filter(_possible(least)).select("a", "b"))
+    if not pairs.limit(1).count():
+        return pairs
     used = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k")))
     few = near(used)
     t = cut(texts.join(few.select("node"), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t")), "zstd")
@@ -223,7 +225,7 @@ def components(links: DataFrame, cut: Cuts) -> DataFrame:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
 
     before, mine = None, False
-    while (now := state(links)) != before:
+    while (now := state(links)) != before and now[0]:
         before, last = now, links
         wide = cut(large(links))
         links = cut(little(wide))
@@ -290,6 +292,8 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, least: float, weightin
     for seed in [*range(SAMPLES), None]:
         named = cut(members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
         mixed = cut(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key"))
+        if not mixed.limit(1).count():  # every bucket is one class
+            break
         still = cut(named.join(mixed, "key", "left_semi"))
         major = still.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("m")).select("key", F.col("m.label").alias("major"))
         open_ = cut(still.join(cut(major), "key"))

@@ -85,9 +85,9 @@ class Network:
                 flat[j] += np.bincount((part[rows, at * STRIDE + j].astype(np.int64) * FILTERS + cols).ravel(), dz.ravel(), 256 * FILTERS)
         return g
 
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.004) -> Network:
-        """Adam over shuffled batches, 600 of them at least; the result depends on the texts and their order only."""
-        epochs = max(epochs, -(-600 * batch // max(1, len(texts))))
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.004, steps: int = 600) -> Network:
+        """Adam over shuffled batches, ``steps`` of them at least; the result depends on the texts and their order only."""
+        epochs = max(epochs, -(-steps * batch // max(1, len(texts))))
         m, v, t, r = {k: 0 * a for k, a in self.p.items()}, {k: 0 * a for k, a in self.p.items()}, 0, np.random.default_rng(11)
         for e in range(epochs):
             order = r.permutation(len(texts))
@@ -124,7 +124,7 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(total / len(starts), -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, sample_bytes: int = 64 << 20) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, sample_bytes: int = 64 << 20, steps: int = 600) -> Network:
     """Train on whole texts of labelled rows: about ``sample`` of them (those of least id hash), fewer where they pass ``sample_bytes``.
 
     Both bounds are on the sample of rows; every sampled text is learned from to its end. Ids may be of any type. An id with
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([k for _, _, k in got], np.float32)
     net = Network()
     if 0 < y.sum() < len(y):
-        net.fit([t for _, t, _ in got], y)
+        net.fit([t for _, t, _ in got], y, steps=steps)
     return net
 
 
@@ -165,8 +165,8 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("i").alias(id_col), F.col("s").alias("score"), F.col("k").alias("predicted"))
 
 
-def train_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Learn from rows whose id's crc32 modulo 5 is not 0 and score all: doc_id, held_out, score, predicted."""
-    net = fit(docs, labels.filter(crc_mod(column(id_col), 5) != 0), id_col, text_col)
+    net = fit(docs, labels.filter(crc_mod(column(id_col), 5) != 0), id_col, text_col, **options)
     out = score(docs, net, id_col, text_col)
     return out.select(id_col, (crc_mod(F.col(id_col), 5) == 0).alias("held_out"), "score", "predicted")

@@ -92,14 +92,14 @@ def test_quality_gradients(group):
 
 def test_quality_edges(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, 0), (None, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
-    got = quality.train_and_score(docs, labels).collect()
+    got = quality.train_and_score(docs, labels, steps=20).collect()
     assert len(got) == docs.count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert quality.train_and_score(no_docs, labels.limit(0)).count() == 0
     long = spark.createDataFrame([("a", "word " * 400_000), ("b", "word " * 400_000), (None, ""), ("a", "word " * 400_000)], "doc_id string, text string")
     got = quality.score(long, quality.Network()).collect()
     assert len({r.score for r in got if r.doc_id}) == 1
-    few = quality.fit(docs, labels, sample_bytes=10)
+    few = quality.fit(docs, labels, sample_bytes=10, steps=2)
     assert isinstance(few, quality.Network)
 
 

