@@ -53,7 +53,7 @@ def remove(spark: SparkSession, path: str) -> None:
 class Cuts:
     """The intermediate tables of one run of an operator over ``docs``, written to the shared folder.
 
-    A table has at most as many files as the input has splits, and fewer where adaptive execution merges small partitions: file
+    A table has at most as many files as the input has splits (or the cluster cores, if these are more), and fewer where adaptive execution merges small partitions: file
     counts follow bytes, and nothing is shuffled to write them. ``drop`` deletes tables that nothing reads any more and ``done``
     all that the result doesn't read; what a result does read stays until the interpreter ends.
     """
@@ -65,7 +65,7 @@ class Cuts:
         self.paths: list[str] = []
         leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
         size = sum(min(int(str(leaves.apply(k).stats().sizeInBytes())), 1 << 60) for k in range(leaves.size()))
-        self.files = min(max(2, -(-size // self._bytes("spark.sql.files.maxPartitionBytes"))), 1 << 24)
+        self.files = min(max(self.spark.sparkContext.defaultParallelism, -(-size // self._bytes("spark.sql.files.maxPartitionBytes"))), 1 << 24)
 
     def _bytes(self, key: str) -> int:
         return self.spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(self.spark.conf.get(key))

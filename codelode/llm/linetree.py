@@ -34,9 +34,9 @@ def parse(docs: DataFrame, id_col: str, text_col: str, cut: Cuts) -> DataFrame:
     few = lambda c: c.rlike("[0-9]") & (F.regexp_count(c, F.lit(_NUMBER)) <= F.regexp_count(c, F.lit(WORD)) * VARIES)
     masked = lambda c: F.when(few(c), F.regexp_replace(c, _NUMBER, "<*>")).otherwise(c)
     text = text_of(text_col)
-    d = docs.select(column(id_col).alias("doc"), *key_of(text), F.length(text).alias("size"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    bare = F.btrim(masked(F.col("line")), F.lit(" \t\n\x0b\f\r"))
-    tokens = F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.split(bare, _SPACE)).otherwise(F.split(bare, " "))  # one space is split without a regex
+    d = docs.select(column(id_col).alias("doc"), *key_of(text), F.length(text).alias("size"), text.alias("t"))  # once a text, not once a line
+    d = d.select("doc", "k1", "k2", "size", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    tokens = F.split(F.btrim(masked(F.col("line")), F.lit(" \t\n\x0b\f\r")), _SPACE)
 
     def parsed(t):
         n = F.size(t)
