@@ -171,11 +171,14 @@ def _without(text: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), text).otherwise(let(rows, stay))
 
 
-def _deduped(docs: DataFrame, id_col: str, text_col: str, least_docs: int) -> tuple[DataFrame, Cuts]:
-    """(row, text, n_lines, n_dropped) of every input row."""
+def _deduped(docs: DataFrame, id_col: str, text_col: str, least_docs: int, never_empty: bool = False) -> tuple[DataFrame, Cuts]:
+    """(row, text, n_lines, n_dropped) of every input row; with ``never_empty``, texts that would lose all their lines keep them."""
     cut = Cuts(docs)
     drop = recurring(docs, id_col, text_col, least_docs, cut)
     out = docs.select(whole(docs), column(text_col).alias("t"), *key_of(text_of(text_col))).join(near(drop), ["k1", "k2"], "left")
+    if never_empty:
+        rest = F.size(F.filter(F.split(text_of("t"), "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")) > F.size("dropped")
+        out = out.withColumn("dropped", F.when(rest, F.col("dropped")))
     lines = (F.length(text_of("t")) - F.length(F.replace(text_of("t"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     return out.select("row", _without(F.col("t"), F.col("dropped")).alias("text"), lines.alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped")), cut
 
@@ -192,11 +195,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return cut.done(out.select(F.col("row.id").alias(id_col), "n_lines", "n_dropped", "text"))
 
 
-def rewrite_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", least_docs: int = 2) -> DataFrame:
+def rewrite_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", least_docs: int = 2, never_empty: bool = False) -> DataFrame:
     """The input's rows, all columns, with the texts that ``dedup_lines`` leaves; ``length_col``, where there is one, follows.
 
-    Columns of any name pass through; the length changes only where lines went. The same edge cases as in ``dedup_lines``.
+    Columns of any name pass through; the length changes only where lines went. With ``never_empty`` a text all of whose lines
+    would go keeps them, so that no document is emptied. Else the same edge cases as in ``dedup_lines``.
     """
-    out, cut = _deduped(docs, id_col, text_col, least_docs)
+    out, cut = _deduped(docs, id_col, text_col, least_docs, never_empty)
     of = lambda c: F.col("text") if c == text_col else F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]) if c == length_col else F.col("row")[c]
     return cut.done(out.select(*[of(c).alias(c) for c in docs.columns]))

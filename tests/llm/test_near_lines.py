@@ -119,6 +119,15 @@ def test_a_footer_of_two_lines_leaves_one_copy(spark):
         assert ["editor" in text[k] for k in range(6)] == [True, *[False] * 5]
 
 
+def test_no_document_is_emptied_where_that_is_asked(spark):
+    """A text of recurring lines only keeps them with never_empty; others lose theirs."""
+    rows = [(1, "one line of its own\nthe shared line here is long\nand a second shared line"), (2, "the shared line here is long\n\nand a second shared line"), (3, "something else entirely said\nthe shared line here is long"), (4, None), (5, " \n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in linetree.rewrite_lines(d, never_empty=True).collect()}
+    assert left == {1: rows[0][1], 2: rows[1][1], 3: "something else entirely said", 4: None, 5: " \n"}
+    assert {r.doc_id: r.text for r in linetree.rewrite_lines(d).collect()}[2] == ""
+
+
 def test_long_passages_that_repeat_go_and_copies_stay(spark):
     """A passage of over 50 words in documents and in their copies goes everywhere but in its first document and that one's copies."""
     passage = prose(5, 60)
