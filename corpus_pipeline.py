@@ -25,9 +25,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: lines of recurring templates go but for their first place; every document stays, and n_chars follows the text.
 
-    A null text stays null, a text that loses all its lines is empty, rows of one text lose the same lines.
+    A document all of whose lines recur elsewhere keeps them: emptied, it would be taken for a copy of every other empty one by
+    the next stage. A null text stays null; rows of one text lose the same lines.
     """
-    return linetree.rewrite_lines(docs)
+    return linetree.rewrite_lines(docs, never_empty=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
