@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import pickle
 import sys
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +83,10 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: (block, docs, codes, words, counts, tokens)."""
-    part, seq = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+    """Blocks of documents: (block, docs, codes, words, counts, tokens).
+
+    Blocks are numbered at random, and written before they are used: several partitions may be read by one task.
+    """
     for rb in _gathered(batches):
         ids, held = rb.column(0), rb.column(1).to_numpy(zero_copy_only=False).astype(bool)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(rb.column(2), "")))
@@ -108,8 +111,8 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.repeat(~held[first:last], lens + 1)
             counts = np.bincount(seqs[own], minlength=len(order))
             docs = pickle.dumps((ids.slice(first, last - first).to_pylist(), held[first:last].tolist()))
-            yield pa.RecordBatch.from_pydict({"block": pa.array([part << 32 | seq], pa.int64()), "docs": pa.array([docs], pa.binary()), "codes": pa.array([pickle.dumps((pack(seqs), pack(lens)))], pa.binary()), "words": pa.array([hashes[order].tobytes()], pa.binary()), "counts": pa.array([pack(counts)], pa.binary()), "tokens": pa.array([len(seqs)], pa.int64())})
-            first, seq = last, seq + 1
+            yield pa.RecordBatch.from_pydict({"block": pa.array([uuid.uuid4().int >> 65], pa.int64()), "docs": pa.array([docs], pa.binary()), "codes": pa.array([pickle.dumps((pack(seqs), pack(lens)))], pa.binary()), "words": pa.array([hashes[order].tobytes()], pa.binary()), "counts": pa.array([pack(counts)], pa.binary()), "tokens": pa.array([len(seqs)], pa.int64())})
+            first = last
 
 
 def ask_words(shards: int):

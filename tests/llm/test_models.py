@@ -208,6 +208,16 @@ def test_lm_blocks_agree_with_one_block(spark, monkeypatch):
         assert one[k].base_score == pytest.approx(many[k].base_score, rel=1e-12)
 
 
+def test_lm_keeps_all_rows_where_partitions_share_a_task(spark):
+    """More partitions than files of an intermediate table: blocks of one task stay apart."""
+    from pyspark.sql import functions as F
+
+    d = spark.range(0, 90, 1, 16).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a word and"), F.col("id").cast("string")).alias("text"))
+    got = lm.score_texts(d).collect()
+    assert sorted(r.doc_id for r in got) == list(range(90))
+    assert {r.n_tokens for r in got} == {5}
+
+
 def test_packing():
     r = np.random.default_rng(6)
     for a in (np.zeros(0, int), np.array([0]), r.integers(0, 2**50, 1000), r.integers(0, 3, 1000)):
