@@ -13,6 +13,7 @@ SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".
 TAIL = 6
 #: Confidences of the ladder of call resolution.
 LADDER = {"receiver-type": 0.85, "same-file": 1.0, "import-binding": 0.9, "unique-name": 0.9, "import-scoped": 0.7, "module-scoped": 0.5, "module-local": 0.6}
+RUNGS = list(LADDER)
 
 
 def relative_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -53,34 +54,64 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame, bi
     calls: caller, file, module, name, member, receiver (NULL where unknown). functions: id, file, module, name, type, exported.
     imports: module, target_module. bindings: file, name, target (function id). types: type, is_interface, declared.
 
-    Candidates are counted once for each rung of the ladder in grouped joins; the first rung with an answer gives the edges, and a
-    rung that is not unique declines instead of guessing.
+    The first rung with an answer gives the edges, and a rung that is not unique declines instead of guessing. A caller lies in one
+    file. Candidates are counted once for each place (name, file, module) that calls; only the edges themselves are spelled out, since
+    a name's calls times its functions would be their square. A call without a caller or with an unknown ``member`` stays unresolved.
     """
-    f = functions.select(F.col("id").alias("target"), F.col("file").alias("tf"), F.col("module").alias("tm"), F.col("name").alias("name"), F.col("type").alias("tt"))
+    f = functions.select(F.col("id").alias("target"), "file", "module", "name", "type")
     key = ["caller", "name", "member"]
-    c = calls.drop("receiver").dropDuplicates(key)
-    sole = types.filter("declared = 1 and not is_interface").select(F.col("type").alias("receiver"))
-
-    typed = calls.filter("receiver is not null").join(sole, "receiver").join(f.withColumnRenamed("tt", "receiver"), ["receiver", "name"])
-    typed = typed.groupBy(*key, "receiver").agg(F.min("target").alias("target"), F.count_distinct("target").alias("n")).filter("n = 1").select(*key, "target", F.lit("receiver-type").alias("reason"), F.lit(0).alias("rung"))
-
-    named = settle(c.join(f, "name").select(*key, "file", "module", "target", "tf", "tm"))  # five rungs read it
-    elsewhere = named.groupBy(*key).agg(F.count_if(F.col("target") != F.col("caller")).alias("others"))
-    same = named.filter("tf = file").join(elsewhere, key).filter("target != caller or others = 0").select(*key, "target", F.lit("same-file").alias("reason"), F.lit(1).alias("rung"))
-    bound = c.filter("not member").join(bindings, ["file", "name"]).select(*key, "target", F.lit("import-binding").alias("reason"), F.lit(2).alias("rung"))
-    unique = named.filter("not member and target != caller").groupBy(*key).agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).filter("n = 1").select(*key, "target", F.lit("unique-name").alias("reason"), F.lit(3).alias("rung"))
-    scoped = named.filter("target != caller").join(imports.select("module", F.col("target_module").alias("tm")).distinct(), ["module", "tm"])
-    per = Window.partitionBy(*key)
-    scoped = scoped.withColumn("n", F.count(F.lit(1)).over(per)).withColumn("lo", F.min("tm").over(per)).withColumn("hi", F.max("tm").over(per))
-    one = scoped.filter("n = 1").select(*key, "target", F.lit("import-scoped").alias("reason"), F.lit(4).alias("rung"))
-    few = scoped.filter("n between 2 and 4 and lo = hi").select(*key, "target", F.lit("module-scoped").alias("reason"), F.lit(5).alias("rung"))
-    local = named.filter("not member and target != caller and tm = module").groupBy(*key).agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).filter("n = 1").select(*key, "target", F.lit("module-local").alias("reason"), F.lit(6).alias("rung"))
-    every = typed.unionByName(same).unionByName(bound).unionByName(unique).unionByName(one).unionByName(few).unionByName(local)
-    first = every.groupBy(*key).agg(F.min("rung").alias("rung"))
-    hits = every.join(first, [*key, "rung"]).select(*key, "target", "reason").filter("target != caller").distinct()
-    conf = F.element_at(F.create_map(*[F.lit(x) for kv in LADDER.items() for x in kv]), F.col("reason"))
-    missed = c.join(first, key, "left_anti").select(*key, F.lit(None).cast(functions.schema["id"].dataType).alias("target"), F.lit("unresolved").alias("reason"))
-    return hits.unionByName(missed).withColumn("confidence", F.when(F.col("target").isNotNull(), conf))
+    sole = types.filter("declared = 1 and not is_interface").select("type")
+
+    typed = f.join(sole, "type", "left_semi").groupBy("type", "name").agg(F.count_distinct("target").alias("n"), F.min("target").alias("t")).filter("n = 1").select(F.col("type").alias("receiver"), "name", "t")
+    typed = _small(calls.filter("receiver is not null").join(typed, ["receiver", "name"]).groupBy(*key).agg(F.collect_set("t").alias("typed")))
+    places = _small(_places(calls, f, imports, bindings))
+    own = f.groupBy(F.col("target").alias("caller"), "name").agg(F.collect_list(F.struct("file", "module")).alias("own"))
+
+    c = calls.select(*key, "file", "module").distinct().join(own, ["caller", "name"], "left").alias("c")
+    c = c.join(places.alias("p"), F.expr("c.name <=> p.name and c.file <=> p.file and c.module <=> p.module"), "left").select("c.*", *[f"p.{x}" for x in places.columns if x not in ("name", "file", "module")])
+    c = c.join(typed, key, "left")
+    mine = lambda rule: F.coalesce(F.size(F.filter("own", rule)), F.lit(0))
+    others = F.coalesce("in_all", F.lit(0)) - F.when(F.col("own").isNull(), 0).otherwise(F.size("own"))
+    c = c.withColumn("others", others).withColumn("beside", F.col("in_file") - mine(lambda x: x.file == F.col("file"))).withColumn("near", F.col("in_module") - mine(lambda x: x.module == F.col("module")))
+    c = c.withColumn("scoped", F.filter("few", lambda x: x.target != F.col("caller")))
+    c = c.withColumn("reach", F.aggregate("scoped", F.lit(0).cast("long"), lambda n, x: n + x.m)).withColumn("spans", F.size(F.array_distinct(F.transform("scoped", lambda x: x.tm))))
+    free = ~F.col("member")
+    answers = [F.col("typed").isNotNull(), (F.col("beside") > 0) | ((F.col("others") == 0) & (F.col("in_file") > 0)), free & F.col("bound"), free & (F.col("others") == 1), F.col("reach") == 1, F.col("reach").between(2, 4) & (F.col("spans") == 1), free & (F.col("near") == 1)]
+    rung = F.coalesce(*[F.when(rule, k) for k, rule in enumerate(answers)])
+    c = c.withColumn("rung", F.when(F.col("caller").isNotNull() & F.col("member").isNotNull(), rung))
+    other = lambda lo, hi: F.array(F.when(F.col(lo) != F.col("caller"), F.col(lo)).otherwise(F.col(hi)))
+    said = F.when(F.col("rung") == 0, F.col("typed")).when(F.col("rung") == 3, other("all_lo", "all_hi")).when(F.col("rung").isin(4, 5), F.array_distinct(F.transform("scoped", lambda x: x.target))).when(F.col("rung") == 6, other("module_lo", "module_hi"))
+    c = c.select(*key, "file", "rung", F.explode_outer(said).alias("said"))
+    # the two rungs whose edges may be any number
+    many = f.select("name", "file", F.lit(1).alias("rung"), "target").unionByName(bindings.select("name", "file", F.lit(2).alias("rung"), "target")).distinct()
+    out = c.join(many, ["name", "file", "rung"], "left").withColumn("target", F.coalesce("said", "target")).filter("rung is null or target != caller")
+    reason = F.when(F.col("rung").isNull(), "unresolved").otherwise(F.get(F.array(*[F.lit(k) for k in RUNGS]), F.col("rung")))
+    conf = F.get(F.array(*[F.lit(LADDER[k]) for k in RUNGS]), F.col("rung"))
+    return out.select(*key, F.col("target").cast(functions.schema["id"].dataType).alias("target"), reason.alias("reason"), conf.alias("confidence"))
+
+
+def _small(df: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """A written table, marked for broadcast where it has few rows."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _places(calls: DataFrame, f: DataFrame, imports: DataFrame, bindings: DataFrame) -> DataFrame:
+    """What the rungs ask of each place (name, file, module) that calls: functions of the name in all, in the file, in the module.
+
+    few: (tm, target, m) of its functions in the modules that the place's module imports, where they are five ids at most: the
+    caller and as many as a rung accepts.
+    """
+    ids = f.groupBy("name", F.col("module").alias("tm"), "target").agg(F.count(F.lit(1)).alias("m"))
+    per = ids.groupBy("name", "tm").agg(F.sum("m").alias("in_module"), F.min("target").alias("module_lo"), F.max("target").alias("module_hi"), F.count(F.lit(1)).alias("ids"))
+    reach = imports.select("module", F.col("target_module").alias("tm")).distinct()
+    some = reach.join(per, "tm").groupBy("module", "name").agg(F.sum("ids").alias("ids")).filter("ids <= 5")
+    few = reach.join(ids.join(per.filter("ids <= 5").select("name", "tm"), ["name", "tm"], "left_semi"), "tm").join(some, ["module", "name"], "left_semi")
+    few = few.groupBy("module", "name").agg(F.collect_list(F.struct("tm", "target", "m")).alias("few"))
+    every = f.groupBy("name").agg(F.count(F.lit(1)).alias("in_all"), F.min("target").alias("all_lo"), F.max("target").alias("all_hi"))
+    at = calls.select("name", "file", "module").distinct().join(every, "name", "left")
+    at = at.join(f.groupBy("name", "file").agg(F.count(F.lit(1)).alias("in_file")), ["name", "file"], "left").join(per.drop("ids").withColumnRenamed("tm", "module"), ["name", "module"], "left")
+    return at.join(few, ["name", "module"], "left").join(bindings.select("name", "file", F.lit(True).alias("bound")).distinct(), ["name", "file"], "left")
 
 
 def unresolved_calls(resolved: DataFrame) -> DataFrame:

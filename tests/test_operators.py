@@ -132,6 +132,23 @@ def test_resolution_ladder(spark):
     assert got["two"] == "d.ts#two"
 
 
+def test_common_names_are_counted_not_spelled_out(spark, monkeypatch):
+    rows, settle = [], resolution.settle
+    monkeypatch.setattr(resolution, "settle", lambda df: (out := settle(df), rows.append(out.count()))[0])
+    made = [(f"f{k}", f"a{k}.ts", "a", "get", None, True) for k in range(200)] + [(f"g{k}", f"g{k}.ts", "g", "scoped", None, True) for k in range(4)] + [("h", "h.ts", "m", "again", None, True), ("i", "i.ts", "i", "again", None, True), ("self", "s.ts", "m", "self", None, True)]
+    fn = spark.createDataFrame(made, "id string, file string, module string, name string, type string, exported boolean")
+    said = [(f"c{k}", "m.ts", "m", "get", False, None) for k in range(200)] + [("c0", "m.ts", "m", "scoped", True, None), ("c0", "m.ts", "m", "gone", False, None), ("c0", "m.ts", "m", "again", False, None), ("h", "h.ts", "m", "again", False, None), ("self", "s.ts", "m", "self", False, None), ("f0", "a0.ts", "a", "get", False, None), ("f1", "a1.ts", "a", "get", True, None)]
+    calls = spark.createDataFrame(said, "caller string, file string, module string, name string, member boolean, receiver string")
+    imports = spark.createDataFrame([("m", "g"), ("m", "m")], "module string, target_module string")
+    none = spark.createDataFrame([], "file string, name string, target string")
+    types = spark.createDataFrame([], "type string, is_interface boolean, declared int")
+    got = {(r.caller, r.name, r.target, r.reason) for r in resolution.resolve_calls(calls, fn, imports, none, types).collect()}
+    want = {(f"c{k}", "get", None, "unresolved") for k in range(200)} | {("c0", "scoped", f"g{k}", "module-scoped") for k in range(4)} | {("c0", "gone", None, "unresolved"), ("c0", "again", "h", "import-scoped")}
+    # a function's other namesake is its target; its own file, with namesakes elsewhere, is none; alone of its name, it is no call at all
+    assert got == want | {("h", "again", "i", "unique-name"), ("f0", "get", None, "unresolved"), ("f1", "get", None, "unresolved")}
+    assert max(rows) <= 10
+
+
 def test_relative_and_tail_imports(spark):
     files = spark.createDataFrame([("src/a/index.ts",), ("src/b.ts",), ("src/c.js",)], "path string")
     i = spark.createDataFrame([("src/x.ts", 0, "./a"), ("src/x.ts", 1, "./b.js"), ("src/q/x.ts", 2, "../c"), ("src/x.ts", 3, "./gone")], "from_file string, seq int, specifier string")
