@@ -455,7 +455,7 @@ def _resolved(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(F.lit(1), F.lit(7))).alias("k"))
     imports = n.select(F.concat(F.lit("n"), s("n_nationkey")).alias("module"), F.concat(F.lit("n"), ((F.col("n_nationkey") + F.col("k")) % 25).cast("string")).alias("target_module"))
     bd = fn.filter("id % 10 = 0").select("file", F.concat(F.lit("f"), (F.col("id") * 3 % 400).cast("string")).alias("name")).distinct()
-    bindings = bd.join(fn.select("name", F.col("id").alias("t")), "name").groupBy("file", "name").agg(F.min("t").alias("target"))
+    bindings = bd.join(fn.groupBy("name").agg(F.min("id").alias("target")), "name")
     k = F.col("o_orderkey")
     calls = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("caller"), F.concat(F.lit("f"), (k % 400).cast("string")).alias("name"), (k % 3 == 0).alias("member"), F.when(k % 3 == 0, F.concat(F.lit("T"), (k % 400 % 50).cast("string"))).alias("receiver"))
     calls = calls.join(fn.select(F.col("id").alias("caller"), "file", "module"), "caller")

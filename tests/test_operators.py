@@ -149,6 +149,19 @@ def test_common_names_are_counted_not_spelled_out(spark, monkeypatch):
     assert max(rows) <= 10
 
 
+def test_unresolved_calls_of_common_names(spark, monkeypatch):
+    rows, settle = [], resolution.settle
+    monkeypatch.setattr(resolution, "settle", lambda df: (out := settle(df), rows.append(out.count()))[0])
+    fn = spark.range(300).selectExpr("concat('f', id) AS id", "concat(id, '.ts') AS file", "'a' AS module", "concat('n', id % 2) AS name", "CAST(NULL AS STRING) AS type", "true AS exported")
+    calls = spark.range(300).selectExpr("concat('c', id % 100) AS caller", "'m.ts' AS file", "'m' AS module", "concat('n', id % 3) AS name", "false AS member", "CAST(NULL AS STRING) AS receiver")
+    imports = spark.createDataFrame([], "module string, target_module string")
+    bound = spark.createDataFrame([("m.ts", "n1", "f1")], "file string, name string, target string")
+    types = spark.createDataFrame([], "type string, is_interface boolean, declared int")
+    out = resolution.unresolved_calls(resolution.resolve_calls(calls, fn, imports, bound, types))
+    assert {(r.caller, r.unresolved) for r in out.collect()} == {(f"c{k}", 2) for k in range(100)}
+    assert max(rows) <= 3
+
+
 def test_relative_and_tail_imports(spark):
     files = spark.createDataFrame([("src/a/index.ts",), ("src/b.ts",), ("src/c.js",)], "path string")
     i = spark.createDataFrame([("src/x.ts", 0, "./a"), ("src/x.ts", 1, "./b.js"), ("src/q/x.ts", 2, "../c"), ("src/x.ts", 3, "./gone")], "from_file string, seq int, specifier string")
