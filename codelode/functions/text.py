@@ -57,10 +57,14 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0.0)).when(x == y, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / F.nullif(longer, F.lit(0)))
 
 
+def name_parts(name: Column) -> Column:
+    """A name's lower-cased parts: camel humps, - and _."""
+    return F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]", " ")), r"\s+"), lambda w: w != "")
+
+
 def name_token_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard of names' parts: camel humps, - and _."""
-    parts = lambda c: F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]", " ")), r"\s+"), lambda w: w != "")
-    return jaccard(parts(a), parts(b))
+    """Jaccard of names' parts."""
+    return jaccard(name_parts(a), name_parts(b))
 
 
 def test_stem(file: Column) -> Column:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -132,6 +134,28 @@ def test_resolution_ladder(spark):
     assert got["two"] == "d.ts#two"
 
 
+def test_literal_drift_of_many_functions(spark, monkeypatch):
+    rows, settle = [], duplicates.settle
+    monkeypatch.setattr(duplicates, "settle", lambda df: (out := settle(df), rows.append(out.count()))[0])
+    f = spark.range(2000).selectExpr("id", "concat('get user ', id % 2) AS name", "'b' AS body_hash", "cast(id AS string) AS literal_hash")
+    got = duplicates.literal_drift(f).collect()
+    assert len(got) == 2000 and {r.cluster for r in got} == {0}
+    assert max(rows) <= 2000
+
+    # every body is a trial; few literals and names, so that all shapes of literal sets meet
+    rng = random.Random(5)
+    names = ["get user", "user get", "get user now", "put user", "put order", "now"]
+    fns = [(100 * body + k, rng.choice(names[: 2 + body % 5]), f"b{body}", rng.choice("xyzw"[: 1 + body % 4])) for body in range(120) for k in range(rng.randint(2, 9))]
+    label = {x[0]: x[0] for x in fns}
+    half = lambda a, b: 2 * len(a & b) >= len(a | b)
+    edges = [(x[0], y[0]) for x in fns for y in fns if x[0] < y[0] and x[2] == y[2] and x[1] != y[1] and x[3] != y[3] and half(set(x[1].split()), set(y[1].split()))]
+    for _ in range(12):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.id: r.cluster for r in duplicates.literal_drift(spark.createDataFrame(fns, "id long, name string, body_hash string, literal_hash string")).collect()}
+    assert got == {k: label[k] for e in edges for k in e}
+
+
 def test_common_names_are_counted_not_spelled_out(spark, monkeypatch):
     rows, settle = [], resolution.settle
     monkeypatch.setattr(resolution, "settle", lambda df: (out := settle(df), rows.append(out.count()))[0])
