@@ -50,13 +50,17 @@ def bare_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), f"^({'|'.join(LEADING_VERBS)})", "")
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """1 for equal names, else 1 - edits / longer length, of lower-cased names without a leading verb; 0 if either is empty (T5)."""
-    x, y = bare_name(a), bare_name(b)
+def bare_similarity(x: Column, y: Column) -> Column:
+    """1 for equal names, else 1 - edits / longer length; 0 if either is empty."""
     longer = F.greatest(F.length(x), F.length(y))
     return F.when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0.0)).when(x == y, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / F.nullif(longer, F.lit(0)))
 
 
+def name_similarity(a: Column, b: Column) -> Column:
+    """``bare_similarity`` of lower-cased names without a leading verb (T5)."""
+    return bare_similarity(bare_name(a), bare_name(b))
+
+
 def name_parts(name: Column) -> Column:
     """A name's lower-cased parts: camel humps, - and _."""
     return F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]", " ")), r"\s+"), lambda w: w != "")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -134,6 +135,46 @@ def test_resolution_ladder(spark):
     assert got["two"] == "d.ts#two"
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_name_drift_meets_all_near_names_only(spark):
+    f = spark.range(15000).selectExpr("id", "id % 7 AS module", "cast(id AS string) AS body_hash", "concat('CommonPrefix#', lpad(id * 3, 6, '0')) AS name")
+    out = duplicates.name_drift_pairs(f)
+    names = [f"commonprefix#{k * 3:06}" for k in range(15000)]
+    near = {}
+    for k, x in enumerate(names):
+        for i in range(len(x)):
+            near.setdefault((i, x[:i] + x[i + 1 :]), []).append(k)
+    pairs = {(a, b) for g in near.values() for a in g for b in g if a < b and a % 7 != b % 7}
+    began = time.monotonic()
+    got = {(r.a_id, r.b_id) for r in out.collect()}
+    assert time.monotonic() - began < 30  # all pairs of 15,000 names take minutes
+    assert got == pairs
+
+    # lengths around those from which one, two and three edits are allowed; every second name is an edit or two from another
+    rng, said = random.Random(3), []
+    for size in (11, 12, 13, 21, 22, 23, 24, 35, 36, 37):
+        for _ in range(8):
+            x = "".join(rng.choice("abc") for _ in range(size))
+            y = list(x)
+            for _ in range(rng.randint(1, 3)):
+                at, what = rng.randrange(len(y)), rng.randrange(3)
+                y[at : at + (what != 0)] = [] if what == 1 else [rng.choice("abc")]
+            said += [x, "".join(y)]
+    f = spark.createDataFrame([(k, k % 5, str(k), x) for k, x in enumerate(said)], "id int, module int, body_hash string, name string")
+    got = {(r.a_id, r.b_id) for r in duplicates.name_drift_pairs(f).collect()}
+    sim = lambda x, y: 1 - edits(x, y) / max(len(x), len(y))
+    assert got == {(a, b) for a, x in enumerate(said) for b, y in enumerate(said) if a < b and a % 5 != b % 5 and 0.92 <= sim(x, y) < 1}
+    assert len(got) > 20
+
+
 def test_literal_drift_of_many_functions(spark, monkeypatch):
     rows, settle = [], duplicates.settle
     monkeypatch.setattr(duplicates, "settle", lambda df: (out := settle(df), rows.append(out.count()))[0])
