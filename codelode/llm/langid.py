@@ -49,17 +49,17 @@ def vector(text: str) -> np.ndarray:
     return (np.bincount(g, minlength=1 << DIM_BITS) / max(1, len(g))).astype(np.float32)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """L2-regularised hinge loss by dual coordinate descent; y is +1 or -1; the bias is one more feature. Deterministic."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    norm, w, a = (x1 * x1).sum(1) + 1e-12, np.zeros(x1.shape[1], np.float32), np.zeros(len(x))
+def linear_svm(x1: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """L2-regularised hinge loss by dual coordinate descent over these rows of x1, whose last column is the bias' 1; y is +1 or -1. Deterministic."""
+    norm, w, a = np.array([x1[r] @ x1[r] for r in rows]) + 1e-12, np.zeros(x1.shape[1], np.float32), np.zeros(len(rows))
     order = np.random.default_rng(7)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
-            step = min(max(a[i] + (1 - y[i] * float(x1[i] @ w)) / norm[i], 0.0), cost) - a[i]
+        for i in order.permutation(len(rows)):
+            row = x1[rows[i]]
+            step = min(max(a[i] + (1 - y[i] * float(row @ w)) / norm[i], 0.0), cost) - a[i]
             if step:
                 a[i] += step
-                w += np.float32(step * y[i]) * x1[i]
+                w += np.float32(step * y[i]) * row
     return w[:-1], float(w[-1])
 
 
@@ -70,15 +70,20 @@ class Model:
         self.langs = langs
         self.families = sorted({family(k) for k in langs})
         self.members = [[i for i, k in enumerate(langs) if family(k) == f] for f in self.families]
-        scale = float(1 / max(1e-9, np.sqrt((x * x).sum(1)).mean())) if len(x) else 1.0
-        x, columns = x * np.float32(scale), []
+        # the one copy of the texts' vectors, scaled, with the bias' column; the driver has little memory
+        x1 = np.ones((len(x), x.shape[1] + 1), np.float32)
+        x1[:, :-1] = x
+        x = x1[:, :-1]
+        scale = float(1 / max(1e-9, np.mean([np.sqrt(v @ v) for v in x]))) if len(x) else 1.0
+        x *= np.float32(scale)
+        every, columns = np.arange(len(x)), []
         fam = np.array([self.families.index(family(langs[i])) for i in labels], int)
         for f in range(len(self.families)):
-            columns.append(linear_svm(x, np.where(fam == f, 1.0, -1.0)) if len(self.families) > 1 else (np.zeros(x.shape[1], np.float32), 1.0))
+            columns.append(linear_svm(x1, every, np.where(fam == f, 1.0, -1.0)) if len(self.families) > 1 else (np.zeros(x.shape[1], np.float32), 1.0))
         self.pairs = [(a, b) for m in self.members for k, a in enumerate(m) for b in m[k + 1 :]]
         for a, b in self.pairs:
             on = (labels == a) | (labels == b)
-            columns.append(linear_svm(x[on], np.where(labels[on] == a, 1.0, -1.0)))
+            columns.append(linear_svm(x1, every[on], np.where(labels[on] == a, 1.0, -1.0)))
         self.weights = np.stack([w for w, _ in columns], 1) * np.float32(scale) if columns else np.zeros((1 << DIM_BITS, 0), np.float32)
         self.bias = np.array([b for _, b in columns])
         share = lambda on: np.stack([x[on & (labels == k)].sum(0) / scale / max(1, (on & (labels == k)).sum()) for k in range(len(langs))], 1)
@@ -149,8 +154,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if seen[k] < each:
             seen[k] += 1
             kept.append((k, v))
-    x = np.stack([np.frombuffer(v, np.float16) for _, v in kept]).astype(np.float32)
-    return Model(langs, x, np.array([k for k, _ in kept]))
+    x, labels = np.stack([np.frombuffer(v, np.float16) for _, v in kept]), np.array([k for k, _ in kept])
+    del got, kept
+    return Model(langs, x, labels)
 
 
 def _said(docs: DataFrame, model: Model, carried, text_col: str, known: bool) -> DataFrame:

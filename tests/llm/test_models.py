@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -48,6 +49,16 @@ def test_language_families():
     assert langid.Model([], np.zeros((0, 1 << langid.DIM_BITS), np.float32), np.zeros(0, int)).predict("text")[0] == "und"
 
 
+def test_language_training_holds_one_copy():
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 1 << langid.DIM_BITS)).astype(np.float16)
+    tracemalloc.start()
+    m = langid.Model(["de", "en", "fr"], x, np.arange(400) % 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 4 * x.size and m.weights.shape == (1 << langid.DIM_BITS, 3)  # the vectors as floats, and the model's own
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in langid.train_and_identify(d).collect()}
